@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -48,9 +49,17 @@ def store(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _stored.append((spark, path))
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's ContextCleaner see what is no longer referred to, so that shuffle files of stages
+    whose result is stored go at once and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the tables that `df` (from store()) reads, once nothing needs them."""
     roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}

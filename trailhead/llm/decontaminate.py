@@ -124,9 +124,8 @@ def contamination(
         tiny = items.where(size < window).select("__item", F.array_join("__words", " ").alias("__win"))
         whole = whole.unionByName(tiny)
     whole = store(whole.distinct())
-    hits = store(
-        spans.join(whole.select(F.col("__win")).distinct(), "__win", "left_semi").distinct()
-    )
+    known = store(whole.select("__win").distinct())  # plain, so that a hot window's rows can be split
+    hits = store(spans.join(known, "__win", "left_semi").distinct())
     by_doc = ["__doc", "__text_key"]
     covered = hits.groupBy(*by_doc).agg(
         F.size(

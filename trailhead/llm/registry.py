@@ -7,7 +7,15 @@ import importlib
 #: Query name -> module. Each module has a function of the query's name, and SQL where SQL can say it.
 MODULES = {
     "op1_line_dedup": "line_dedup",
+    "op2_lang_id": "lang_id",
+    "op3_suffix_dedup": "suffix_dedup",
+    "op4_near_join": "near_join",
+    "op5_chat_format": "chat_format",
+    "op6_quality": "quality",
     "op7_decontaminate": "decontaminate",
+    "op8_packing": "packing",
+    "op9_embedding_dedup": "embedding_dedup",
+    "op10_url_filters": "url_filter",
 }
 
 
