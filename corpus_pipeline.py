@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages to come)."""
+"""Corpus pipeline: quality, line dedup, near duplicates, benchmark decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which is what the stage
+before it kept; all but the last return the columns of documents. Texts that lose lines get a new
+n_chars. Row order means nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailhead.llm import common, decontaminate, line_dedup, near_join, packing, quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. It learns from the labelled rows of sf_dir."""
+    return quality.drop_rejected(docs, quality.fitted(spark, sf_dir))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents repeat stay in one of them."""
+    out = line_dedup.dedup_lines(docs)
+    same = F.col("n_dropped") == 0
+    return out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays."""
+    gone = near_join.near_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.drop_contaminated(docs, bench)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as token pieces of packed sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_join", near_stage),
+    ("decontaminate", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: A trained classifier cannot be said in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = common.store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

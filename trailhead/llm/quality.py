@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .lang_id import features
 PASSAGE = 512  # characters
 BITS = 10
 ORDERS = (1, 2, 3)
+#: Hashed counts, and how much a passage repeats itself.
+WIDTH = (1 << BITS) + 1
 
 
 def passages(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,7 +46,10 @@ def passages(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[np.
                 dense += np.bincount(np.concatenate(cells), minlength=len(dense)).astype(np.float32)
         x = np.log1p(dense.reshape(len(owner), width))
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return owner, x / np.maximum(norm, 1e-6)
+        x /= norm + 10  # a few characters are little evidence
+        total = dense.reshape(x.shape).sum(axis=1)
+        alike = np.sqrt(np.square(dense.reshape(x.shape)).sum(axis=1)) / np.maximum(total, 1)
+        return owner, np.column_stack([x, 8 * alike * total / (total + 300)]).astype(np.float32)
 
     step = PASSAGE * 256
     for i, text in enumerate(texts):
@@ -83,12 +89,14 @@ class Mil:
         h = np.tanh(x @ p["W"] + p["b"])
         return h, (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4) -> None:
-        """Adam on the weighted log loss; classes weigh the same. Deterministic for the same bags in the same order."""
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, share: float | None = None, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4) -> None:
+        """Adam on the log loss, label 1 weighing `share` in all (None: as in the bags). Deterministic for the same bags in order."""
         self.start(bags[0].shape[1])
         p, r = self.par, np.random.default_rng(self.seed)
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
+        own = y.mean()
+        share = own if share is None else share
+        weight = np.where(y == 1, share / max(own, 1e-3), (1 - share) / max(1 - own, 1e-3)).astype(np.float32)
         t = 0
         for _ in range(epochs):
             order = r.permutation(len(bags))
@@ -149,7 +157,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_per_class: int = 1200, max_chars: int = 50_000, **fit,
+    max_per_class: int = 1500, max_chars: int = 50_000, **fit,
 ) -> Mil | float:
     """Learn from at most about `max_per_class` documents of each label, chosen by a hash of the id.
 
@@ -170,9 +178,9 @@ def train(
     rows = both.where(dice < share).select("__doc", "__label", "__text").mapInArrow(_encode, "doc long, label int, part int, bag binary").collect()
     bags: dict[tuple, list] = {}
     for r in sorted(rows, key=lambda r: (r.doc, r.part)):
-        bags.setdefault((r.doc, r.label), []).append(np.frombuffer(r.bag, "<f2").reshape(-1, 1 << BITS).astype(np.float32))
+        bags.setdefault((r.doc, r.label), []).append(np.frombuffer(r.bag, "<f2").reshape(-1, WIDTH).astype(np.float32))
     model = Mil()
-    model.fit([np.concatenate(b) for b in bags.values()], np.array([k[1] for k in bags]), **fit)
+    model.fit([np.concatenate(b) for b in bags.values()], np.array([k[1] for k in bags]), **{"share": sizes[1] / sum(sizes.values())} | fit)
     return model
 
 
@@ -206,6 +214,20 @@ def score_quality(docs: DataFrame, model: Mil | float, text_col: str = "text", k
 THRESHOLD = 0.7
 
 
+def drop_rejected(docs: DataFrame, model: Mil | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that score `threshold` or more. Only texts go to Python."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    spread = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        m = spread.value
+        return pd.Series(np.full(len(texts), m) if isinstance(m, float) else m.score(texts.tolist()))
+
+    return docs.where(score(F.col(text_col)) >= threshold)
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> Mil | float:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
