@@ -7,7 +7,10 @@ is at most the size of the symmetric difference, and so is the number of blocks
 
 If 100 |A & B| >= 80 |A | B| then |A ^ B| <= (|A| + |B|) / 9 =: d. By the pigeonhole principle the
 first d + 1 nonempty blocks of either set, in any order of (block, word) that both sets use, then
-share one with an equal word. The order is: words that are frequent in the corpus last.
+share one with an equal word. The order is by how many sets of the corpus have the word in that
+block, counted exactly; words that are frequent within single tasks are not counted but come last.
+Words that no other set has come first, so a set with more than d of these has no candidates at
+all: texts that merely share a passage do not meet.
 """
 
 from __future__ import annotations
@@ -91,14 +94,18 @@ def keys(h: np.ndarray, band: int, blocks: int) -> np.ndarray:
 
 
 def bits(h: np.ndarray, blocks: int) -> bytes:
-    """The parity bits, packed; tiny sets, whose blocks are their hashes, are folded to 256 bits."""
-    if blocks >= FREE:
-        count = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256)
-        return np.packbits(count % 2 == 1).tobytes()
-    block, _, odd = sketch(h, blocks)
-    out = np.zeros(blocks, dtype=bool)
-    out[block[odd]] = True
-    return np.packbits(out).tobytes()
+    """Parity bits, packed: four for each block, 256 for a tiny set. A wider band's fold to a narrower one's."""
+    size = 256 if blocks >= FREE else 4 * blocks
+    at = ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size) % 2 == 1).tobytes()
+
+
+def fold(packed: np.ndarray, times: int) -> np.ndarray:
+    """The parity bits of a sketch (or rows of sketches) a `times`-th as wide."""
+    if times == 1:
+        return packed
+    wide = np.unpackbits(packed, axis=-1)
+    return np.packbits(np.bitwise_xor.reduce(wide.reshape(*wide.shape[:-1], -1, times), axis=-1), axis=-1)
 
 
 def class_id(h: np.ndarray) -> int:
@@ -157,95 +164,150 @@ def _popular(least: int, most: int):
     return run
 
 
-def prefix(h: np.ndarray, band: int, blocks: int, popular: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """The first d + 1 keys in the common order: popular keys last, else by key.
-
-    d is the most that this set can differ from any set of the band it may link with. Should
-    fewer blocks than that be nonempty, all keys are given, and `weak` says so.
-    """
-    k = np.sort(keys(h, band, blocks))
-    if len(popular):
-        at = np.searchsorted(popular, k)
-        hot = popular[np.minimum(at, len(popular) - 1)] == k
-        k = np.concatenate([k[~hot], k[hot]])
-    n = len(h)
-    return k[: most_apart(n, 100 * n // share, share) + 1]
+def needed(n: int, share: int = SHARE) -> int:
+    """d + 1, where d is the most that a set of n shingles can differ from one it links with."""
+    return most_apart(n, 100 * n // share, share) + 1
 
 
 def weak(h: np.ndarray, band: int, blocks: int, share: int = SHARE) -> bool:
     n = len(h)
-    return blocks < FREE and len(sketch(h, blocks)[0]) <= most_apart(n, 100 * n // share, share)
+    return blocks < FREE and len(sketch(h, blocks)[0]) < needed(n, share)
+
+
+LOW = np.uint64((1 << 40) - 1)
+KEYS = ["u1", "u1", "<u4", "<i8"]  # low 40 bits of keys, band (0 or 1), index of the class, classes
+HEADS = ["<i8", "u1", "<i4"]  # class, band, how many shared keys it lacks if no key is shared
+SURE = ["<i8", "<i8"]  # key, class: popular keys that a class has to use
+SHARED = ["<i8", "u1", "<i8", "<i4"]  # class, band, key, how many classes have it
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
 
+def _name(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (_bucket(key, buckets) << 40) | (key & LOW).astype(np.int64)
 
-def _emit(spread, buckets: int, every_hash: bool):
-    """For each bucket of keys, a block of (key's low 40 bits, class): 13 bytes a row instead of a JVM row."""
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+
+def _split(by: np.ndarray, buckets: int, *cols: np.ndarray) -> list[list[np.ndarray]]:
+    """Columns, sorted, for each bucket."""
+    order = np.argsort(by, kind="stable")
+    edge = np.searchsorted(by[order], np.arange(buckets + 1))
+    cols = [c[order] for c in cols]
+    return [[c[i:j] for c in cols] for i, j in zip(edge, edge[1:])]
+
+
+def _emit(spread, buckets: int, every_hash: bool, chunk: int = 4_000_000):
+    """For each bucket a block of keys (about 8 bytes each instead of a JVM row), of heads, and of popular keys in use.
+
+    Keys go to their own bucket, to be counted; heads and popular keys go to their class's.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("heads", pa.binary()), ("sure", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         popular = spread.value
-        held: list[tuple[np.ndarray, int]] = []
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, int, int]] = []
+        heads: list[tuple[int, int, int]] = []
+        sure: list[tuple[np.ndarray, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([k for k, _ in held])
-            cid = np.repeat(np.array([c for _, c in held], dtype=np.int64), [len(k) for k, _ in held])
-            both = np.unique(np.stack([key.view(np.int64), cid], axis=1), axis=0) if len(key) < 2 else _distinct(key, cid)
-            key, cid = both[:, 0].copy().view(np.uint64), both[:, 1]
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            for i in range(0, len(edge) - 1, 64):
-                some = list(zip(edge[i : i + 64], edge[i + 1 : i + 65]))
-                blocks = [_block(key[x:y], cid[x:y]) for x, y in some]
-                yield common.batch_of(schema, bucket=[bucket[x] for x, _ in some], block=blocks)
+            key = np.concatenate([k for k, _, _ in held])
+            per = [len(k) for k, _, _ in held]
+            which = np.repeat(np.arange(len(held)), per)
+            band = np.repeat(np.array([b for _, b, _ in held], dtype=np.uint8), per)
+            cids = np.array([c for _, _, c in held], dtype=np.int64)
+            by_key = _split(_bucket(key, buckets), buckets, key, band, which)
+            hc, hb, hn = (np.array(c) for c in zip(*heads))
+            by_head = _split(_bucket(hc.astype(np.int64), buckets), buckets, hc, hb, hn)
+            pk = np.concatenate([k for k, _ in sure]) if sure else np.empty(0, np.int64)
+            pc = np.repeat(np.array([c for _, c in sure], dtype=np.int64), [len(k) for k, _ in sure])
+            by_sure = _split(_bucket(pc, buckets), buckets, pk, pc)
+            for i in range(buckets):
+                key, band, which = by_key[i]
+                if not len(key) and not len(by_head[i][0]) and not len(by_sure[i][0]):
+                    continue
+                names, at = np.unique(which, return_inverse=True)
+                low = np.ascontiguousarray((key & LOW).view(np.uint8).reshape(-1, 8)[:, :5])
+                cols = [low, band, at.astype("<u4"), cids[names]]
+                told = [common.pack(*[np.asarray(c).astype(t) for c, t in zip(x, kinds)]) for x, kinds in ((cols, KEYS), (by_head[i], HEADS), (by_sure[i], SURE))]
+                yield common.batch_of(schema, bucket=[i], keys=[told[0]], heads=[told[1]], sure=[told[2]])
 
         for batch in batches:
             for text in next(common.columns(batch, "__text")):
                 h = shingles(text)
-                if not len(h):
+                if not len(h) or (c := class_id(h)) in seen:
                     continue
-                c = class_id(h)
-                for band, blocks in bands(len(h)):
-                    held.append((prefix(h, band, FREE if every_hash else blocks, popular), c))
-                    size += len(held[-1][0])
-                if size > 2_000_000:
+                seen.add(c)
+                for at, (band, blocks) in enumerate(bands(len(h))):
+                    k = np.unique(keys(h, band, FREE if every_hash else blocks))
+                    hot = popular[np.minimum(np.searchsorted(popular, k), max(len(popular) - 1, 0))] == k if len(popular) else np.zeros(len(k), bool)
+                    lack = needed(len(h)) - int((~hot).sum())
+                    heads.append((c, at, lack))
+                    held.append((k[~hot], at, c))
+                    if lack > 0:
+                        sure.append((_name(k[hot][:lack], buckets), c))
+                    size += len(k)
+                if size > chunk:
                     yield from flush()
-                    held, size = [], 0
+                    held, heads, sure, size = [], [], [], 0
         if held:
             yield from flush()
 
     return run
 
 
-def _distinct(key: np.ndarray, cid: np.ndarray) -> np.ndarray:
-    order = np.lexsort((cid, key))
-    key, cid = key[order], cid[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
-    return np.stack([key[new].view(np.int64), cid[new]], axis=1)
-
+def _count_keys(buckets: int):
+    """One bucket of keys: those that several classes have, with how many, to the classes' buckets."""
+    schema = pa.schema([("bucket", pa.int32()), ("heads", pa.binary()), ("sure", pa.binary()), ("shared", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        cols: list[list[np.ndarray]] = []
+        for block in table.column("keys").to_pylist():
+            low, band, at, names = common.unpack(block, *KEYS)
+            wide = np.zeros((len(at), 8), dtype=np.uint8)
+            wide[:, :5] = low.reshape(-1, 5)
+            cols.append([wide.view("<i8").ravel(), names[at], band])
+        key, cid, band = (np.concatenate(c) for c in zip(*cols))
+        order = np.lexsort((cid, key))
+        key, cid, band = key[order], cid[order], band[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])  # copies in other tasks
+        key, cid, band = key[new], cid[new], band[new]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(np.append(first, len(key)))
+        n = np.repeat(n, n)
+        many = n > 1
+        own = int(table.column("bucket")[0].as_py())
+        key, cid, band, n = key[many] | (own << 40), cid[many], band[many], n[many]
+        out = [{"bucket": own, "heads": h, "sure": s, "shared": b""} for h, s in zip(table.column("heads").to_pylist(), table.column("sure").to_pylist())]
+        for i, part in enumerate(_split(_bucket(cid, buckets), buckets, cid, band, key, n)):
+            if len(part[0]):
+                out.append({"bucket": i, "heads": b"", "sure": b"", "shared": common.pack(*[c.astype(t) for c, t in zip(part, SHARED)])})
+        return pa.Table.from_pylist(out, schema=schema)
 
-def _block(key: np.ndarray, cid: np.ndarray) -> bytes:
-    low = (key & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return common.pack(np.ascontiguousarray(low), cid.astype("<i8"))
+    return run
 
 
-def _groups(table: pa.Table) -> pa.Table:
-    """(key, cid, first) for the keys of one bucket that more than one class has."""
-    keys_, cids = [], []
-    for block in table.column("block").to_pylist():
-        low, cid = common.unpack(block, "u1", "<i8")
-        wide = np.zeros((len(cid), 8), dtype=np.uint8)
-        wide[:, :5] = low.reshape(-1, 5)
-        keys_.append(wide.view("<u8").ravel())
-        cids.append(cid)
-    both = _distinct(np.concatenate(keys_), np.concatenate(cids))
-    key, cid = both[:, 0], both[:, 1]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    n = np.diff(np.append(first, len(key)))
-    own = np.repeat(np.arange(len(first)), n)
-    keep = (n > 1)[own]
-    name = key + (int(table.column("bucket")[0].as_py()) << 40)
-    return pa.table({"key": name[keep], "cid": cid[keep], "first": cid[first][own][keep]})
+def _choose(table: pa.Table) -> pa.Table:
+    """One bucket of classes: (key, cid) of each class's first d + 1 keys that others have too."""
+    gather = lambda name, kinds: [np.concatenate(c) for c in zip(*[common.unpack(b, *kinds) for b in table.column(name).to_pylist() if b])] or [np.empty(0, k) for k in kinds]
+    hc, hb, lack = gather("heads", HEADS)
+    pk, pc = gather("sure", SURE)
+    cid, band, key, n = gather("shared", SHARED)
+    name = (hc.astype(np.int64) << 1) | hb  # the top bit of a class goes: it is in the bucket
+    order = np.argsort(name, kind="stable")
+    own = (cid << 1) | band
+    by = np.lexsort((key, n, own))
+    own, cid, key = own[by], cid[by], key[by]
+    first = np.flatnonzero(np.diff(own, prepend=own[:1] - 1)) if len(own) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(own)))
+    place = np.arange(len(own)) - np.repeat(first, count)
+    at = np.searchsorted(name[order], own[first]) if len(own) else first
+    most = lack[order][at] + count  # d + 1 less the keys that no other class has
+    keep = place < np.repeat(most, count)
+    return pa.table({"key": pa.array(np.concatenate([key[keep], pk]), pa.int64()), "cid": pa.array(np.concatenate([cid[keep], pc]), pa.int64())})
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,16 +348,16 @@ def links_of(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", popular_keys: int = 1 << 16) -> DataFrame:
     """(id, n_shingles, component_id): exact Jaccard links of 0.8 or more between word-shingle sets.
 
-    Texts with equal sets are one class. Prefix keys of all classes are shuffled once, as packed
-    blocks per bucket of keys; a bucket keeps the keys that several classes share. Candidates come
-    in two rounds. First, in a key's group every class is paired with the group's least class,
+    Texts with equal sets are one class. All classes' keys are shuffled as packed blocks per bucket
+    and counted; a class keeps the first d + 1 in the common order, if others have them. Candidates
+    come in two rounds. First, in a key's group every class is paired with the group's least class,
     which is linear in the group; pairs whose sizes and sketches' Hamming distance allow a link are
     verified on whole sets, and components are taken. Then, in groups that still hold several
     components, the pairs across components are tried alike. After that every candidate pair was
-    either tried or lies inside one component, so no link that would join two is lost; a group of
-    near copies costs a star, and texts that only share a common passage mostly do not meet,
-    because popular keys come last in the order. `popular_keys` bounds the broadcast list of those
-    (8 bytes each); any list gives the same result.
+    either tried or lies inside one component, so no link that would join two is lost, and a group
+    of near copies costs a star. `popular_keys` bounds the broadcast list of keys that are frequent
+    within tasks (8 bytes each); these are not shuffled to be counted, and any list gives the same
+    result.
 
     Edge cases: null, empty or wordless texts have an empty set, 0, and link with nothing. Rows
     that repeat an id: one row per id; with other texts, the one of the least class. A null id is
@@ -320,8 +382,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     popular = np.sort(np.array([r[0] for r in found], dtype=np.int64).astype(np.uint64))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
-    emitted = named.mapInArrow(_emit(spark.sparkContext.broadcast(popular), buckets, every_hash), "bucket int, block binary")
-    keyed = common.store(emitted.groupBy("bucket").applyInArrow(_groups, "key long, cid long, first long"))
+    emitted = named.mapInArrow(_emit(spark.sparkContext.broadcast(popular), buckets, every_hash), "bucket int, keys binary, heads binary, sure binary")
+    counted = emitted.groupBy("bucket").applyInArrow(_count_keys(buckets), "bucket int, heads binary, sure binary, shared binary")
+    chosen = common.store(counted.groupBy("bucket").applyInArrow(_choose, "key long, cid long"))
+    chosen = chosen.distinct()
+    groups = common.store(chosen.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("__last")).where("first < __last").select("key", "first"))
+    keyed = common.store(chosen.join(groups, "key").select("key", "cid", "first"))
 
     def fetch(pairs: DataFrame, have: DataFrame | None) -> DataFrame:
         need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
@@ -368,10 +434,10 @@ def _hamming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         for i, j, n, m, x, y in zip(*common.columns(batch, "a", "b", "n1", "n2", "b1", "b2")):
-            if len(x) == len(y):  # else the sketches are of neighbouring bands; the sets decide
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                if int(np.bitwise_count(x ^ y).sum()) > most_apart(n, m):
-                    continue
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            low = min(len(x), len(y))
+            if int(np.bitwise_count(fold(x, len(x) // low) ^ fold(y, len(y) // low)).sum()) > most_apart(n, m):
+                continue
             a.append(i)
             b.append(j)
         yield common.batch_of(schema, a=a, b=b)
@@ -408,18 +474,22 @@ def _tile(table: pa.Table) -> pa.Table:
     for k in right:
         by_length.setdefault(len(raw[k]), []).append(k)
     stacked = {w: (np.array(rows), np.frombuffer(b"".join(raw[k] for k in rows), np.uint8).reshape(len(rows), w)) for w, rows in by_length.items()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
     for x in np.flatnonzero(part == i):
         own = np.frombuffer(raw[x], np.uint8)
-        for w, (rows, bits_) in stacked.items():
+        for w, (rows, wide) in stacked.items():
             ok = root[rows] != root[x]
             ok &= 100 * np.minimum(n[rows], n[x]) >= SHARE * np.maximum(n[rows], n[x])
             if i[0] == j[0]:
                 ok &= cid[rows] > cid[x]
             y = np.flatnonzero(ok)
-            if w == len(own) and len(y):
-                apart = np.bitwise_count(bits_[y] ^ own).sum(axis=1, dtype=np.int64)
-                y = y[apart <= (100 - SHARE) * (n[rows[y]] + n[x]) // (100 + SHARE)]
-            for k in rows[y]:
+            if not len(y):
+                continue
+            low = min(w, len(own))
+            if (w, low) not in folded:
+                folded[w, low] = fold(wide, w // low)
+            apart = np.bitwise_count(folded[w, low][y] ^ fold(own, len(own) // low)).sum(axis=1, dtype=np.int64)
+            for k in rows[y[apart <= (100 - SHARE) * (n[rows[y]] + n[x]) // (100 + SHARE)]]:
                 a.append(min(cid[x], cid[k]))
                 b.append(max(cid[x], cid[k]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
