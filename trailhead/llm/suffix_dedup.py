@@ -24,8 +24,8 @@ LENGTH = 100
 GRAM = 24
 PERIOD = 32
 #: Bytes of text whose anchors a task holds before it sends them on; and suffixes that are sorted at once.
-CHUNK, BLOCK = 8 << 20, 1 << 18
-FLUSH = 32 << 20
+CHUNK, BLOCK = 2 << 20, 1 << 18
+FLUSH = 24 << 20
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -116,10 +116,14 @@ def _by_doc(doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, list[np.n
 FOUND = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("block", pa.binary())])
 
 
-def _rows(kind: int, doc: np.ndarray, *cols: np.ndarray) -> Iterator[dict]:
+def _found(kind: int, doc: np.ndarray, *cols: np.ndarray) -> pa.Table:
     """A row per document: 0: intervals to remove; 1: runs to be compared by their bytes."""
+    docs, blocks = [], []
     for d, own in _by_doc(doc, *cols):
-        yield {"doc": d, "kind": kind, "block": common.pack(*(merge(*own) if kind == 0 else own))}
+        docs.append(d)
+        blocks.append(common.pack(*(merge(*own) if kind == 0 else own)))
+    arrays = [pa.array(docs, pa.int64()), pa.array(np.full(len(docs), kind), pa.int32()), pa.array(blocks, pa.binary())]
+    return pa.Table.from_arrays(arrays, schema=FOUND)
 
 
 def _runs(buckets: int, length: int):
@@ -194,7 +198,7 @@ def _settle(length: int):
         n = cols[5].astype(np.int64)
         doc = np.concatenate([doc, cols[2][again]])
         lo, hi = np.concatenate([lo, cols[3][again]]), np.concatenate([hi, cols[3][again] + n[again] - 1 + length])
-        rows = list(_rows(0, doc, lo, hi))
+        gone = _found(0, doc, lo, hi)
         key, body = cols[0], cols[1]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (body[1:] != body[:-1])
@@ -204,8 +208,7 @@ def _settle(length: int):
             same = key[1:] == key[:-1]
             many[1:] |= same
             many[:-1] |= same
-        rows += _rows(1, doc[many], key[many], lo[many], place[many], n[many])
-        return pa.Table.from_pylist(rows, schema=FOUND)
+        return pa.concat_tables([gone, _found(1, doc[many], key[many], lo[many], place[many], n[many])])
 
     return run
 
@@ -255,7 +258,7 @@ def _cut(buckets: int, length: int):
                             name = xxhash.xxh3_64_intdigest(text[at : at + GRAM + half - 1], seed=2)
                             held.append((name, doc, q, at - q, last - q + 1, text[q : last + length]))
                             size += len(held[-1][5]) + 64
-                if size > FLUSH:
+                if size > FLUSH // 2:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -360,7 +363,7 @@ def _compare(length: int):
             raw += [whole[a:b] for a, b in zip([0, *p[5][:-1].tolist()], p[5].tolist())]
         found = repeats(key, doc, lo, place, n, raw, length)
         start = lo[found[:, 0]] + found[:, 1]
-        return pa.Table.from_pylist(list(_rows(0, doc[found[:, 0]], start, start + length)), schema=FOUND)
+        return _found(0, doc[found[:, 0]], start, start + length)
 
     return run
 
