@@ -350,12 +350,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with equal sets are one class. All classes' keys are shuffled as packed blocks per bucket
     and counted; a class keeps the first d + 1 in the common order, if others have them. Candidates
-    come in two rounds. First, in a key's group every class is paired with the group's least class,
+    come in rounds. First, in a key's group every class is paired with the group's least class,
     which is linear in the group; pairs whose sizes and sketches' Hamming distance allow a link are
-    verified on whole sets, and components are taken. Then, in groups that still hold several
-    components, the pairs across components are tried alike. After that every candidate pair was
-    either tried or lies inside one component, so no link that would join two is lost, and a group
-    of near copies costs a star. `popular_keys` bounds the broadcast list of keys that are frequent
+    verified on whole sets, and components are taken. Groups that still hold several components
+    get stars around other classes, while these join many of them; at the end all pairs across
+    components that are left are tried alike. After that every candidate pair was either tried or
+    lies inside one component, so no link that would join two is lost, and a group of near copies
+    costs some stars. `popular_keys` bounds the broadcast list of keys that are frequent
     within tasks (8 bytes each); these are not shuffled to be counted, and any list gives the same
     result.
 
@@ -403,12 +404,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = fetch(pairs, None)
     links = common.store(links_of(pairs, hashes))
     roots = components(links)
-    across = _across(keyed, roots, classes).join(pairs, ["a", "b"], "left_anti")
-    across = common.store(_sized(across, classes))
-    if not across.isEmpty():
-        hashes = fetch(across, hashes)
-        links = common.store(links.unionByName(links_of(across, hashes)))
-        roots = components(links)
+    tried, turn, gain = pairs, 0, True
+    while True:  # stars around other classes while these join much; then all pairs that are left, once
+        mixed = _mixed(keyed, roots)
+        rows, load = mixed.agg(F.count("*"), F.coalesce(F.sum("others"), F.lit(0))).first()
+        turn += 1
+        stars = gain and load > 4 * rows
+        more = _star(mixed, turn) if stars else _across(mixed, classes)
+        more = common.store(_sized(more.join(tried, ["a", "b"], "left_anti"), classes))
+        hashes = fetch(more, hashes)
+        found = common.store(links_of(more, hashes))
+        gain = not found.isEmpty()
+        if gain:
+            links = common.store(links.unionByName(found))
+            roots = components(links)
+        tried = tried.unionByName(more)
+        if not stars:
+            break
 
     group = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     group = common.store(group.select("cid", "rep", F.coalesce("root", "cid").alias("root")))
@@ -443,18 +455,33 @@ def _hamming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common.batch_of(schema, a=a, b=b)
 
 
-def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one key's classes in different components, for keys that hold more than one.
+def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, cid, root, size, others): the groups that hold several components, with the group's size and
+    how many of its members are in other components than this one."""
+    named = keyed.select("key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    named = common.store(named.select("key", "cid", F.coalesce("root", "cid").alias("root")))
+    part = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = part.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts")).where("parts > 1")
+    groups = common.store(groups.select("key", "size", ((F.col("size") * F.col("size") - F.col("inside")) / F.col("size")).alias("others")))
+    return common.store(named.join(groups, "key").select("key", "cid", "root", "size", "others"))
+
+
+def _star(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each group's members against one of them, another one each turn, where components differ."""
+    centre = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "root")).alias("c"))
+    centre = common.store(centre.select("key", F.col("c.cid").alias("centre"), F.col("c.root").alias("own")))
+    far = mixed.join(centre, "key").where("root <> own")
+    return far.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of one key's classes in different components.
 
     A key's group is dealt to tasks in tiles: its members are hashed into as many parts as its size
     asks for and each tile pairs two parts, so no task holds a whole large group. A tile returns
     only pairs whose sizes and sketches allow a link.
     """
-    named = keyed.select("key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    named = common.store(named.select("key", "cid", F.coalesce("root", "cid").alias("root")))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    mixed = common.store(mixed.select("key", F.ceil(F.col("size") / 512).cast("int").alias("parts")))
-    rows = named.join(mixed, "key").join(classes.select("cid", "n", "bits"), "cid")
+    rows = mixed.withColumn("parts", F.ceil(F.col("size") / 512).cast("int")).join(classes.select("cid", "n", "bits"), "cid")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).cast("int"))
     tile = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
