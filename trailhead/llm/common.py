@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+try:  # large arrays go back to the system when they are freed, so that idle workers hold little
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of the GNU C library
+except (AttributeError, OSError):
+    pass
+
 _own_dirs: dict[str, str] = {}
 _stored: list[tuple[SparkSession, str]] = []
 

@@ -24,8 +24,8 @@ LENGTH = 100
 GRAM = 24
 PERIOD = 32
 #: Bytes of text whose anchors a task holds before it sends them on; and suffixes that are sorted at once.
-CHUNK, BLOCK = 2 << 20, 1 << 18
-FLUSH = 24 << 20
+CHUNK, BLOCK = 1 << 19, 1 << 17
+FLUSH = 12 << 20
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -406,7 +406,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = docs.select(F.col(id_col).cast("long").alias("__doc"), common.as_bytes(F.col(text_col)).alias("__text"))
     known = named.where("__doc is not null")
     total = known.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (48 << 20) + 1)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (12 << 20) + 1)
     runs = known.mapInArrow(_runs(buckets, length), "bucket int, block binary, gone binary")
     kinds = "doc long, kind int, block binary"
     found = common.store(runs.groupBy("bucket").applyInArrow(_settle(length), kinds))
