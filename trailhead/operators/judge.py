@@ -33,7 +33,7 @@ def first_object(text: str) -> str:
     """The first balanced JSON object of a text, strings and escapes minded; {} if there is none."""
     start = text.find("{")
     depth, quoted, skip = 0, False, False
-    for i in range(start, len(text) if start >= 0 else 0):
+    for i in range(start if start >= 0 else len(text), len(text)):
         c = text[i]
         if skip:
             skip = False
