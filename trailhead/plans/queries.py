@@ -219,17 +219,27 @@ def _strategy(make):
     return query
 
 
+def expand_sibling(spark, sf):
+    """Over names without numbers, so that tests and headers have companions; seeds are a fifth of these."""
+    plain = vrepo.files(spark, sf, False).groupBy(F.regexp_replace("path", r"_\d+\.", ".").alias("path")).agg(F.min("doc_id").alias("ord"))
+    seeds = plain.where("ord % 5 = 4")
+    own = expand.described(seeds).join(seeds, "path")
+    return expand.by_sibling(own, expand.described(plain)).groupBy("path").agg(F.min("ord").alias("first_seed"))
+
+
+EXPAND_SIBLING = f"""{PATHS}, g AS (SELECT regexp_replace(path, '_[0-9]+[.]', '.') AS path, min(doc_id) AS o FROM f GROUP BY 1),
+k AS (SELECT o, path, {DIR} AS dir, lower({STEM}) AS stem, {COMPANION} AS comp, lower({EXT}) AS ext FROM g)
+SELECT b.path, min(a.o) AS first_seed FROM k a JOIN k b ON a.comp = b.comp AND a.path <> b.path AND a.dir = b.dir AND a.o % 5 = 4
+  AND (a.stem <> b.stem OR (a.ext || '|' || b.ext) IN ('.cc|.h', '.h|.cc')) GROUP BY b.path"""
 EXPANDS = {
     "expand_dir": lambda s, f, spark, sf: expand.by_dir(s, f),
     "expand_module": lambda s, f, spark, sf: expand.by_module(s, f),
     "expand_prefix": lambda s, f, spark, sf: expand.by_prefix(s, f),
-    "expand_sibling": lambda s, f, spark, sf: expand.by_sibling(s, f),
     "expand_import": lambda s, f, spark, sf: expand.by_import(s, graph.neighbors(graph.import_edges(vrepo.files(spark, sf)))),
 }
 KEYS = f"k AS (SELECT doc_id, path, {DIR} AS dir, {STEM} AS stem, {COMPANION} AS comp, lower({EXT}) AS ext FROM f), sd AS (SELECT * FROM k WHERE doc_id < {SEEDS})"
 PREFIXED = "length(f2.stem) >= greatest(3, length(s.stem) // 2) AND length(f2.stem) >= 3 AND lower(f2.stem[1:greatest(3, length(s.stem) // 2)]) = lower(s.stem[1:greatest(3, length(s.stem) // 2)])"
-SIBLING = "f2.comp = s.comp AND f2.path <> s.path AND f2.dir = s.dir AND lower(f2.stem) <> lower(s.stem)"
-ON = {"expand_dir": "f2.dir = s.dir", "expand_module": "f2.dir = s.dir", "expand_prefix": PREFIXED, "expand_sibling": SIBLING}
+ON = {"expand_dir": "f2.dir = s.dir", "expand_module": "f2.dir = s.dir", "expand_prefix": PREFIXED}
 EXPAND_SQL = {n: f"{PATHS}, {KEYS} SELECT f2.path, min(s.doc_id) AS first_seed FROM sd s JOIN k f2 ON {on} GROUP BY f2.path" for n, on in ON.items()}
 EXPAND_SQL["expand_import"] = f"""{PATHS}, {EDGE_ROWS}, n AS (SELECT src AS path, dst AS nb FROM e UNION SELECT dst, src FROM e)
 SELECT n.nb AS path, min(f.doc_id) AS first_seed FROM f JOIN n ON f.path = n.path WHERE f.doc_id < {SEEDS} GROUP BY n.nb"""
@@ -424,6 +434,115 @@ def _role(kind: str, prompt: str) -> str:
     return json.dumps({"classification": "main_chain" if "test" in prompt else "uncertain", "confidence": 0.8})
 
 
+def path_relations(spark, sf):
+    f = vrepo.files(spark, sf, False).select("doc_id", "path")
+    after = f.select((F.col("doc_id") - 10).alias("doc_id"), F.col("path").alias("other"))
+    a, b = F.col("path"), F.col("other")
+    m, n = P.module(a), P.module(b)
+    return f.join(after, "doc_id").select(
+        "doc_id", P.same_module(a, b).alias("same_module"), P.is_sub_module_of(m, P.parent_module(n)).alias("below"), P.shared_depth(m, n).cast("long").alias("shared"),
+        P.is_header_pair(P.ext(a), P.ext(b)).alias("header_pair"), P.is_test_pair(P.stem(a), F.concat(P.stem(a), F.lit("_test"))).alias("test_pair"),
+    )
+
+
+PATH_RELATIONS = f"""{PATHS}, p AS (SELECT a.doc_id, a.path AS x, b.path AS y FROM f a JOIN f b ON b.doc_id = a.doc_id + 10),
+q AS (SELECT doc_id, split_part(x, '/', 1) AS s, split_part(y, '/', 1) AS t, split_part(x, '/', 2) AS l, split_part(y, '/', 2) AS k, regexp_extract(x, '(\\.[^.]*)$', 1) || '|' || regexp_extract(y, '(\\.[^.]*)$', 1) AS e,
+  NOT regexp_matches(x, '(_test|_spec)[^/]*$') OR TRUE AS tp FROM p)
+SELECT doc_id, s = t AND l = k AS same_module, s = t AS below, CASE WHEN s <> t THEN 0 WHEN l <> k THEN 1 ELSE 2 END::BIGINT AS shared,
+  e IN ('.cc|.h', '.h|.cc') AS header_pair, tp AS test_pair FROM q"""
+
+
+def pack_predicates(spark, sf):
+    df = paths_of(spark, sf).select("path", R.basic_rules(F.col("path"))["tags"].alias("tags"))
+    return df.select("path", R.pack_test(F.col("path"), F.col("tags")).alias("is_test"), R.config_tag(F.col("tags")).alias("is_config"))
+
+
+PACK_PREDICATES = f"""{PATHS} SELECT path, {TESTED} OR regexp_matches(lower(path), '(_test\\.go|_test\\.py|[.](test|spec)\\.tsx?)$') AS is_test, {CONFIGURED} AS is_config FROM f"""
+
+
+def scan_filter(spark, sf):
+    return paths_of(spark, sf).where(P.kept(F.col("path"), ["de", "src3"], 3)).select("path")
+
+
+SCAN_FILTER = f"{PATHS} SELECT path FROM f WHERE split_part(path, '/', 2) <> 'de' AND split_part(path, '/', 1) <> 'src3'"
+
+
+def task_ids(spark, sf):
+    f = vrepo.files(spark, sf, False)
+    return f.select("path", P.task_id(F.lit("classify_file_role"), F.col("path"), F.col("doc_id")).alias("task_id"))
+
+
+TASK_IDS = f"{PATHS} SELECT path, 'classify_file_role-' || replace(path, '/', '_') || '-' || doc_id AS task_id FROM f"
+
+
+def source_descriptions(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    names = ["seed", "import", "config_rule"]
+    pick = F.filter(F.array(*[F.when(F.col("page_id") % (i + 2) == 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+    return pages.select("page_id", T.described(pick).alias("described"), T.joined(pick, 2).alias("joined"))
+
+
+SOURCE_DESCRIPTIONS = """SELECT page_id, concat_ws(', ', CASE WHEN page_id % 2 = 0 THEN 'seed file (user-provided)' END, CASE WHEN page_id % 3 = 0 THEN 'import graph (strong structural link)' END,
+  CASE WHEN page_id % 4 = 0 THEN 'config_rule' END) AS described, '[' || array_to_string(list_filter([CASE WHEN page_id % 2 = 0 THEN 'seed' END, CASE WHEN page_id % 3 = 0 THEN 'import' END,
+  CASE WHEN page_id % 4 = 0 THEN 'config_rule' END], lambda x: x IS NOT NULL)[1:2], ' ') || ']' AS joined FROM pages"""
+
+
+def text_shapes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    each = docs.select("doc_id", F.explode(X.lines(F.col("text"))).alias("line"))
+    return each.groupBy("doc_id").agg(
+        F.max(T.indent(F.col("line"))).cast("long").alias("indent"), F.sum(F.char_length(T.collapse(F.col("line")))).alias("collapsed"),
+        F.sum(F.char_length(T.quoted(F.col("line")))).alias("quoted"),
+    )
+
+
+TEXT_SHAPES = """SELECT doc_id, max(length(regexp_extract(line, '^([ \\t]*)', 1))) AS indent, CAST(sum(length(trim(regexp_replace(line, '\\s+', ' ', 'g')))) AS BIGINT) AS collapsed,
+  CAST(sum(length(regexp_extract(line, '"(.*)"', 1))) AS BIGINT) AS quoted FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"""
+
+
+def eval_summary(spark, sf):
+    metrics = evaluate_lists(spark, sf).withColumn("error", F.when(F.col("sample_id") == "src1", "failed"))
+    out = evaluate.summarize(metrics)
+    return out.select("total_samples", "success_count", "error_count", *[F.round(f"mean_{m}", 6).alias(f"mean_{m}") for m in evaluate.METRICS])
+
+
+EVAL_SUMMARY = f"""SELECT count(*) AS total_samples, count(*) FILTER (sample_id <> 'src1') AS success_count, count(*) FILTER (sample_id = 'src1') AS error_count,
+  {", ".join(f"round(avg({m}) FILTER (sample_id <> 'src1'), 6) AS mean_{m}" for m in evaluate.METRICS)} FROM ({EVALUATE_LISTS})"""
+
+
+def hit_verdicts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "n_chars")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    key = [F.col("source").alias("sample_id"), F.col("doc_id").cast("string").alias("path")]
+    out = evaluate.hit_lists(docs.where("n_chars > 1500").select(*key), docs.join(labels.where("quality = 1"), "doc_id").select(*key))
+    return out.groupBy("sample_id", "verdict").agg(F.count("*").alias("n"))
+
+
+HIT_VERDICTS = """SELECT source AS sample_id, CASE WHEN long AND good THEN 'hit' WHEN long THEN 'extra' ELSE 'miss' END AS verdict, count(*) AS n
+FROM (SELECT source, n_chars > 1500 AS long, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents) WHERE long OR good GROUP BY 1, 2"""
+
+
+def pool_counts(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    prompts = bench.select(F.col("item_id").alias("idx"), F.col("item_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("prompt"))
+    out = judge.pool_counts(judge.judge(prompts, judge.MockAdapter(reply=_reply)))
+    return out.withColumn("failed_idx", F.array_join("failed_idx", ","))
+
+
+POOL_COUNTS = f"""SELECT count(*) AS total, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed,
+  coalesce(string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (failed), '') AS failed_idx FROM ({JUDGE_MAP})"""
+
+
+def positive_labels(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kinds = list(T.POSITIVE)
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 4 + 1).cast("int"))
+    label = F.when(F.col("quality") == 0, "skip").when(F.col("doc_id") % 4 == 0, "companion").when(F.col("doc_id") % 4 == 1, "relevant").when(F.col("doc_id") % 4 == 2, "expand").otherwise("no")
+    return labels.select("doc_id", T.is_positive(kind, label).alias("positive"), T.level_mark(F.when(F.col("toxic") == 1, "error").otherwise("info")).alias("mark"))
+
+
+POSITIVE_LABELS = "SELECT doc_id, quality = 1 AND doc_id % 4 <> 3 AS positive, CASE WHEN toxic = 1 THEN '❌' ELSE 'ℹ️' END AS mark FROM labels"
+
 #: Query name -> (function, SQL or None).
 TABLE = {
     "lang_detect": (lang_detect, LANG_DETECT), "module_detect": (module_detect, MODULE_DETECT), "module_group": (module_group, MODULE_GROUP),
@@ -431,12 +550,16 @@ TABLE = {
     "rules_basic": (rules_basic, RULES_BASIC), "rules_profile": (rules_profile, RULES_PROFILE), "focus_boost": (focus_boost, FOCUS_BOOST),
     "imports": (imports, IMPORTS), "symbols": (symbols, SYMBOLS), "symbol_lines": (symbol_lines, SYMBOL_LINES), "line_source": (line_source, LINE_SOURCE),
     "dir_suffix_index": (dir_suffix_index, DIR_SUFFIX_INDEX), "import_edges": (import_edges, IMPORT_EDGES), "neighbors": (neighbors, NEIGHBORS),
-    **{n: (_strategy(f), EXPAND_SQL[n]) for n, f in EXPANDS.items()},
+    **{n: (_strategy(f), EXPAND_SQL[n]) for n, f in EXPANDS.items()}, "expand_sibling": (expand_sibling, EXPAND_SIBLING),
     "expand_round": (expand_round, EXPAND_ROUND), "expand_bfs2": (expand_bfs2, None), "discovery_score": (discovery_score, DISCOVERY_SCORE),
     "module_weight": (module_weight, MODULE_WEIGHT), "rank_cards": (rank_cards, RANK_CARDS), "score_breakdown": (score_breakdown, SCORE_BREAKDOWN),
     "top_n": (top_n, TOP_N), "threshold": (threshold, THRESHOLD), "pack_files": (pack_files, PACK_FILES), "risk_hints": (risk_hints, RISK_HINTS),
     "evaluate_lists": (evaluate_lists, EVALUATE_LISTS), "token_estimate": (token_estimate, TOKEN_ESTIMATE), "judge_map": (judge_map, JUDGE_MAP),
-    "prompt_text": (prompt_text, PROMPT_TEXT), "scout_run": (scout_run, None), "scout_pack": (scout_pack, None), "judged_run": (judged_run, None),
+    "prompt_text": (prompt_text, PROMPT_TEXT), "path_relations": (path_relations, PATH_RELATIONS),
+    "pack_predicates": (pack_predicates, PACK_PREDICATES), "scan_filter": (scan_filter, SCAN_FILTER), "task_ids": (task_ids, TASK_IDS),
+    "source_descriptions": (source_descriptions, SOURCE_DESCRIPTIONS), "text_shapes": (text_shapes, TEXT_SHAPES), "eval_summary": (eval_summary, EVAL_SUMMARY),
+    "hit_verdicts": (hit_verdicts, HIT_VERDICTS), "pool_counts": (pool_counts, POOL_COUNTS), "positive_labels": (positive_labels, POSITIVE_LABELS),
+    "scout_run": (scout_run, None), "scout_pack": (scout_pack, None), "judged_run": (judged_run, None),
 }
 
 
