@@ -221,13 +221,13 @@ def _strategy(make):
 
 def expand_sibling(spark, sf):
     """Over names without numbers, so that tests and headers have companions; seeds are a fifth of these."""
-    plain = vrepo.files(spark, sf, False).groupBy(F.regexp_replace("path", r"_\d+\.", ".").alias("path")).agg(F.min("doc_id").alias("ord"))
+    plain = vrepo.files(spark, sf, False).groupBy(F.regexp_replace(F.regexp_replace("path", r"_\d+\.", "."), "^[^/]*/", "").alias("path")).agg(F.min("doc_id").alias("ord"))
     seeds = plain.where("ord % 5 = 4")
     own = expand.described(seeds).join(seeds, "path")
     return expand.by_sibling(own, expand.described(plain)).groupBy("path").agg(F.min("ord").alias("first_seed"))
 
 
-EXPAND_SIBLING = f"""{PATHS}, g AS (SELECT regexp_replace(path, '_[0-9]+[.]', '.') AS path, min(doc_id) AS o FROM f GROUP BY 1),
+EXPAND_SIBLING = f"""{PATHS}, g AS (SELECT regexp_replace(regexp_replace(path, '_[0-9]+[.]', '.'), '^[^/]*/', '') AS path, min(doc_id) AS o FROM f GROUP BY 1),
 k AS (SELECT o, path, {DIR} AS dir, lower({STEM}) AS stem, {COMPANION} AS comp, lower({EXT}) AS ext FROM g)
 SELECT b.path, min(a.o) AS first_seed FROM k a JOIN k b ON a.comp = b.comp AND a.path <> b.path AND a.dir = b.dir AND a.o % 5 = 4
   AND (a.stem <> b.stem OR (a.ext || '|' || b.ext) IN ('.cc|.h', '.h|.cc')) GROUP BY b.path"""
