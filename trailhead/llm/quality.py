@@ -159,23 +159,27 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     max_per_class: int = 1500, max_chars: int = 50_000, **fit,
 ) -> Mil | float:
-    """Learn from at most about `max_per_class` documents of each label, chosen by a hash of the id.
+    """Learn from at most `max_per_class` documents of each label, the first in the order of a hash of the id.
 
-    Documents of over `max_chars` characters are not learned from (they are scored), so what comes
-    to the driver is bounded: 2 * max_per_class bags of max_chars / 512 encoded passages. With one
-    label only, its share (0 or 1) is the model; with none, 0.5.
+    The sample is taken from the labels alone: at most 2 * max_per_class ids, which are broadcast to
+    the texts, so no text is shuffled. Documents of over `max_chars` characters are not learned from
+    (they are scored), so what comes to the driver is bounded: bags of max_chars / 512 encoded
+    passages each. With one label only, its value is the model; with none, 0.5.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
-    named = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), F.char_length(text_col).alias("__size"))
-    both = named.join(marked, F.col("__doc") == F.col(id_col)).where(F.coalesce("__size", F.lit(0)) <= max_chars)
-    sizes = {r[0]: r[1] for r in both.groupBy("__label").count().collect()}
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
+    sizes = {r[0]: r[1] for r in marked.groupBy("__label").count().collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes), 0.5))
-    share = F.when(F.col("__label") == 1, min(1.0, max_per_class / sizes[1])).otherwise(min(1.0, max_per_class / sizes[0]))
-    dice = F.pmod(F.xxhash64("__doc", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    rows = both.where(dice < share).select("__doc", "__label", "__text").mapInArrow(_encode, "doc long, label int, part int, bag binary").collect()
+    picked = [marked.where(F.col("__label") == k).orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(max_per_class) for k in (0, 1)]
+    picked = F.broadcast(picked[0].unionByName(picked[1]))
+    named = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).where(F.coalesce(F.char_length("__text"), F.lit(0)) <= max_chars)
+    both = named.join(picked, F.col("__doc") == F.col("__id")).select("__doc", "__label", "__text")
+    rows = both.mapInArrow(_encode, "doc long, label int, part int, bag binary").collect()
+    if len({r.label for r in rows}) < 2:
+        return float(rows[0].label) if rows else 0.5
     bags: dict[tuple, list] = {}
     for r in sorted(rows, key=lambda r: (r.doc, r.part)):
         bags.setdefault((r.doc, r.label), []).append(np.frombuffer(r.bag, "<f2").reshape(-1, WIDTH).astype(np.float32))
