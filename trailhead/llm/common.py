@@ -44,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back.
+def store(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back; `free` calls release() after it.
 
     This cuts lineage like checkpoint() but stays columnar and compressed; a lost executor
     costs nothing, because readers go to the shared folder. Deleted when Python ends.
@@ -55,7 +55,8 @@ def store(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _stored.append((spark, path))
-    release(spark)
+    if free:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -385,7 +385,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
     emitted = named.mapInArrow(_emit(spark.sparkContext.broadcast(popular), buckets, every_hash), "bucket int, keys binary, heads binary, sure binary")
     counted = emitted.groupBy("bucket").applyInArrow(_count_keys(buckets), "bucket int, heads binary, sure binary, shared binary")
-    chosen = common.store(counted.groupBy("bucket").applyInArrow(_choose, "key long, cid long"))
+    chosen = common.store(counted.groupBy("bucket").applyInArrow(_choose, "key long, cid long"), free=True)
     chosen = chosen.distinct()
     groups = common.store(chosen.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("__last")).where("first < __last").select("key", "first"))
     keyed = common.store(chosen.join(groups, "key").select("key", "cid", "first"))
@@ -396,7 +396,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             need = need.join(have.select("cid"), "cid", "left_anti")
         need = common.store(need.join(classes, "cid").select("rep"))
         got = named.join(need, named["__doc"] == need["rep"], "left_semi").mapInArrow(_hashes, "cid long, hashes binary")
-        got = common.store(got)
+        got = common.store(got, free=True)
         return got if have is None else have.unionByName(got)
 
     pairs = keyed.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()

@@ -409,11 +409,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (12 << 20) + 1)
     runs = known.mapInArrow(_runs(buckets, length), "bucket int, block binary, gone binary")
     kinds = "doc long, kind int, block binary"
-    found = common.store(runs.groupBy("bucket").applyInArrow(_settle(length), kinds))
+    found = common.store(runs.groupBy("bucket").applyInArrow(_settle(length), kinds), free=True)
     asks = found.where("kind = 1").groupBy(F.col("doc").alias("__d")).agg(F.collect_list("block").alias("__asks"))
     cut = known.join(asks, F.col("__doc") == F.col("__d")).select("__doc", "__text", "__asks")
     cut = cut.mapInArrow(_cut(buckets, length), "bucket int, block binary")
-    more = common.store(cut.groupBy("bucket").applyInArrow(_compare(length), kinds))
+    more = common.store(cut.groupBy("bucket").applyInArrow(_compare(length), kinds), free=True)
     gone = found.where("kind = 0").unionByName(more).groupBy(F.col("doc").alias("__d")).agg(F.collect_list("block").alias("__gone"))
     out = named.join(gone, F.col("__doc") == F.col("__d"), "left").select("__doc", "__text", "__gone")
     out = out.mapInArrow(_remove, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
