@@ -408,6 +408,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:  # stars around other classes while these join much; then all pairs that are left, once
         mixed = _mixed(keyed, roots)
         rows, load = mixed.agg(F.count("*"), F.coalesce(F.sum("others"), F.lit(0))).first()
+        if not rows:
+            break
         turn += 1
         stars = gain and load > 4 * rows
         more = _star(mixed, turn) if stars else _across(mixed, classes)
