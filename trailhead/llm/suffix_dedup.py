@@ -216,10 +216,22 @@ def _settle(length: int):
 PART = ["<u8", "<i8", "<i8", "u1", "u1", "<u4", "u1"]  # key, document, first window, anchor's place, windows, bytes' ends, bytes
 
 
+def _first_halves(cols: list[np.ndarray], raw: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(columns key, doc, lo, place, n, index of the first of each content; intervals doc, start, end of the others)."""
+    key, doc, lo, place, n = cols
+    body = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+    body ^= common.mix64(place.astype(np.uint64) * np.uint64(256) + n.astype(np.uint64))
+    cols, again = _sorted([key.astype(np.uint64), body, doc, lo, place, n, np.arange(len(raw))])
+    key, _, doc, lo, place, n, at = cols
+    told = [doc[again], lo[again], lo[again] + n[again].astype(np.int64) - 1 + length]
+    return [c[~again] for c in (key, doc, lo, place, n, at)], told
+
+
 def _cut(buckets: int, length: int):
     """The bytes of runs to be compared, in two halves: the windows that reach far to the left of their
-    anchor are keyed by that side too, the others by the other, so that a common anchor alone gathers nothing."""
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+    anchor are keyed by that side too, the others by the other, so that a common anchor alone gathers nothing.
+    Halves that are equal throughout within a task leave their first; the others are told as intervals."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("gone", pa.binary())])
     half = (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,17 +239,18 @@ def _cut(buckets: int, length: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key = np.array([x[0] for x in held], dtype=np.uint64)
+            cols = [np.array(c) for c in list(zip(*held))[:5]]
+            cols, told = _first_halves(cols, [x[5] for x in held], length)
+            key, at = cols[0], cols[5]
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            for x, y in zip(edge, edge[1:]):
-                own = [held[i] for i in order[x:y]]
-                cols = [np.array(c) for c in list(zip(*own))[:5]]
-                ends = np.cumsum([len(o[5]) for o in own])
-                raw = np.frombuffer(b"".join(o[5] for o in own), np.uint8)
-                block = common.pack(*[np.asarray(c).astype(t) for c, t in zip([*cols, ends, raw], PART)])
-                yield common.batch_of(schema, bucket=[bucket[order[x]]], block=[block])
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            parts = np.array_split(np.arange(len(told[0])), max(1, len(edge) - 1))
+            for x, y, part in zip(edge, edge[1:], parts):
+                own = [held[i][5] for i in at[x:y]]
+                ends = np.cumsum([len(o) for o in own])
+                raw = np.frombuffer(b"".join(own), np.uint8)
+                block = common.pack(*[np.asarray(c).astype(t) for c, t in zip([*[c[x:y] for c in cols[:5]], ends, raw], PART)])
+                yield common.batch_of(schema, bucket=[bucket[x]], block=[block], gone=[common.pack(*[c[part].astype("<i8") for c in told])])
 
         for batch in batches:
             for doc, text, blocks in zip(*common.columns(batch, "__doc", "__text", "__asks")):
@@ -361,9 +374,12 @@ def _compare(length: int):
         for p in parts:
             whole = p[6].tobytes()
             raw += [whole[a:b] for a, b in zip([0, *p[5][:-1].tolist()], p[5].tolist())]
-        found = repeats(key, doc, lo, place, n, raw, length)
+        told = [common.unpack(b, "<i8", "<i8", "<i8") for b in table.column("gone").to_pylist()]
+        (key, doc, lo, place, n, at), more = _first_halves([key, doc, lo, place, n], raw, length)
+        found = repeats(key, doc, lo, place, n, [raw[i] for i in at], length)
         start = lo[found[:, 0]] + found[:, 1]
-        return _found(0, doc[found[:, 0]], start, start + length)
+        gone = [np.concatenate(c) for c in zip(*told, more, (doc[found[:, 0]], start, start + length))]
+        return _found(0, *gone)
 
     return run
 
@@ -412,7 +428,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = common.store(runs.groupBy("bucket").applyInArrow(_settle(length), kinds), free=True)
     asks = found.where("kind = 1").groupBy(F.col("doc").alias("__d")).agg(F.collect_list("block").alias("__asks"))
     cut = known.join(asks, F.col("__doc") == F.col("__d")).select("__doc", "__text", "__asks")
-    cut = cut.mapInArrow(_cut(buckets, length), "bucket int, block binary")
+    cut = cut.mapInArrow(_cut(buckets, length), "bucket int, block binary, gone binary")
     more = common.store(cut.groupBy("bucket").applyInArrow(_compare(length), kinds), free=True)
     gone = found.where("kind = 0").unionByName(more).groupBy(F.col("doc").alias("__d")).agg(F.collect_list("block").alias("__gone"))
     out = named.join(gone, F.col("__doc") == F.col("__d"), "left").select("__doc", "__text", "__gone")
