@@ -34,6 +34,8 @@ BAND = 4
 #: Below this size every shingle has a block of its own.
 TINY = 64
 FREE = 1 << 40
+#: Groups of more classes than this get stars before the pairs that are left.
+LARGE = 256
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -352,7 +354,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and counted; a class keeps the first d + 1 in the common order, if others have them. Candidates
     come in rounds. First, in a key's group every class is paired with the group's least class,
     which is linear in the group; pairs whose sizes and sketches' Hamming distance allow a link are
-    verified on whole sets, and components are taken. Groups that still hold several components
+    verified on whole sets, and components are taken. Large groups that still hold several components
     get stars around other classes, while these join many of them; at the end all pairs across
     components that are left are tried alike. After that every candidate pair was either tried or
     lies inside one component, so no link that would join two is lost, and a group of near copies
@@ -405,19 +407,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = common.store(links_of(pairs, hashes))
     roots = components(links)
     tried, turn, gain = pairs, 0, True
-    while True:  # stars around other classes while these join much; then all pairs that are left, once
+    while True:  # large groups: stars around other classes while these join much; then all pairs that are left, once
         mixed = _mixed(keyed, roots)
-        rows, load = mixed.agg(F.count("*"), F.coalesce(F.sum("others"), F.lit(0))).first()
+        large = F.col("size") > LARGE
+        rows, in_large, load = mixed.agg(F.count("*"), F.count_if(large), F.coalesce(F.sum(F.when(large, F.col("others"))), F.lit(0))).first()
         if not rows:
             break
         turn += 1
-        stars = gain and load > 4 * rows
-        more = _star(mixed, turn) if stars else _across(mixed, classes)
+        stars = gain and load > 16 * in_large
+        more = _star(mixed.where(large), turn) if stars else _across(mixed, classes)
         more = common.store(_sized(more.join(tried, ["a", "b"], "left_anti"), classes))
         hashes = fetch(more, hashes)
         found = common.store(links_of(more, hashes))
-        gain = not found.isEmpty()
-        if gain:
+        n = found.count()
+        gain = 20 * n >= more.count()
+        if n:
             links = common.store(links.unionByName(found))
             roots = components(links)
         tried = tried.unionByName(more)
