@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailhead import ship
 from trailhead.functions.text import QUESTIONS
 
 # Fixed value: the system prompt where none is given.
@@ -138,6 +139,7 @@ def judge(prompts: DataFrame, adapter: Callable[[str, str], str] | None, kind: s
                 rows.append({"idx": idx, "path": path} | row)
             yield pd.DataFrame(rows, columns=["idx", "path", "label", "confidence", "reason", "error"])
 
+    ship(prompts.sparkSession)
     return prompts.select("idx", "path", "prompt").repartition(max(1, max_concurrency), "idx").mapInPandas(run, RESULT)
 
 

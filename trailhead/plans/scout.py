@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailhead import ship
 from trailhead.functions import text as T
 from trailhead.operators import cards as cards_
 from trailhead.operators import context, evaluate, expand, graph, judge, pack, rank
@@ -42,6 +43,7 @@ def ranked_files(files: DataFrame, request: rq.Request, config: rq.Config | None
 
 def prompts(ranked: DataFrame, request: rq.Request, config: rq.Config) -> DataFrame:
     """(idx, path, prompt) of the best cards, as many as the budget has jobs; filtered before any Python runs."""
+    ship(ranked.sparkSession)
     jobs = request.limit("max_llm_jobs")
     few = rank.top_n(ranked, jobs) if jobs else ranked
     own = F.array(*[F.lit(s) for s in request.seed_files]) if request.seed_files else F.array().cast("array<string>")

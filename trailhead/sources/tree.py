@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from trailhead import ship
+
 # Directories that a scan leaves out, at any depth.
 IGNORED = [".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "vendor", "out", "dist", "build", "target", "bin", "__pycache__", ".cache"]
 
@@ -71,6 +73,7 @@ class TreeSource(DataSource):
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, max_depth: int = 0, content: bool = True) -> DataFrame:
     """The tree must be on a path that driver and executors share. `content=False` reads names only."""
+    ship(spark)
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("tree").option("maxdepth", max_depth).option("content", str(content).lower())
     if ignore is not None:
