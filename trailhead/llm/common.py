@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailhead import ship
+
 #: Arrow batches hold whole texts, so they are bounded by bytes and not by rows alone.
 BATCH_BYTES = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -92,7 +94,8 @@ def _clean() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes for this session."""
+    """Bound Arrow batches by bytes for this session, and let its workers import the package."""
+    ship(spark)
     spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
