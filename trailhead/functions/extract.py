@@ -25,6 +25,7 @@ IMPORTS = {
     "rb": [r"(?m)^\s*require\s+['\"]([^'\"]+)['\"]", r"(?m)^\s*require_relative\s+['\"]([^'\"]+)['\"]"],
     "php": [r"(?m)(?:require|include)(?:_once)?\s*\(?['\"]([^'\"]+)['\"]\)?"],
 }
+# Import patterns of Go and Python, which are put together below.
 GO_SINGLE, GO_BLOCK, GO_QUOTED = r'(?m)^\s*import\s+"([^"]+)"', r"(?s)import\s*\(([^)]+)\)", r'"([^"]+)"'
 PY_RELATIVE, PY_FROM = r"(?m)^\s*from\s+(\.+[\w.]*)\s+import", r"(?m)^\s*from\s+([a-zA-Z][\w.]*)\s+import"
 PY_PLAIN = r"(?m)^\s*import\s+([\w.,][^\n]*)"
@@ -145,9 +146,9 @@ def symbol_names(text: Column, lang: Column, most: int = 100) -> Column:
 
 
 def lines(text: Column, byte_limit: int | None = None) -> Column:
-    """Split at \\n only; a limit cuts bytes before the split."""
+    """Split at \\n only; a limit cuts bytes before the split, and half a character becomes U+FFFD. Null gives null."""
     if byte_limit is not None:
-        text = F.try_validate_utf8(F.substring(text.cast("binary"), 1, byte_limit).cast("string"))
+        text = F.make_valid_utf8(F.substring(text.cast("binary"), 1, byte_limit).cast("string"))
     return F.split(text, "\n", -1)
 
 

@@ -42,23 +42,24 @@ def judged(label: Column, confidence: Column) -> Column:
 
 
 def rank_cards(cards: DataFrame, by: tuple[str, ...] = (), max_score: float = 1.0) -> DataFrame:
-    """`cards` with module_weight, structural, contributions, final and rank (from 1; ties by ord).
+    """`cards` with module_weight, structural, contributions, final and rank (from 1; ties by ord, then path).
 
-    Seed modules are a small set per group of `by`; ranks are a window per group. With no group
-    there is one request, whose candidates are capped before.
+    Seed modules are a small set per group of `by`, gathered by a window that the ranks' window shares
+    its exchange with, so the cards are read and moved once. With no group there is one request, whose
+    candidates are capped before.
     """
     for c, kind in (("llm_label", "string"), ("llm_conf", "double")):
         if c not in cards.columns:
             cards = cards.withColumn(c, F.lit(None).cast(kind))
-    seeds = cards.where("array_contains(discovered_by, 'seed') and module <> ''").groupBy(*by).agg(F.array_sort(F.collect_set("module")).alias("__seeds"))
-    out = cards.join(seeds, list(by), "left") if by else cards.crossJoin(F.broadcast(seeds))
+    seed = F.when(F.array_contains("discovered_by", "seed") & (F.col("module") != ""), F.col("module"))
+    out = cards.withColumn("__seeds", F.array_sort(F.collect_set(seed).over(Window.partitionBy(*by))))
     out = out.withColumn("module_weight", module_weight(F.col("module"), F.coalesce("__seeds", F.array().cast("array<string>"))))
     score = llm_score(F.col("llm_label"), F.col("llm_conf"))
     out = out.withColumns({"structural": structural_score(), "llm_score": score})
     blend = F.col("structural") * F.lit(1 - LLM_WEIGHT) + F.col("llm_score") * F.lit(LLM_WEIGHT)
     final = F.when(judged(F.col("llm_label"), F.col("llm_conf")), blend).otherwise(F.col("structural"))
     out = out.withColumn("final", F.least(final, F.lit(max_score)))
-    order = Window.partitionBy(*by).orderBy(F.desc("final"), F.asc("ord"))
+    order = Window.partitionBy(*by).orderBy(F.desc("final"), F.asc("ord"), F.asc("path"))
     return out.withColumn("rank", F.row_number().over(order).cast("long")).drop("__seeds")
 
 

@@ -65,7 +65,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.select(
         F.col("l_suppkey").alias("request_id"),
-        F.concat_ws("/", F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")), F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".go"))).alias("path"),
+        F.concat_ws("/", F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")), F.concat(F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit(".go"))).alias("path"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_linenumber") == 1).alias("is_seed"),
         F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")).alias("module"),
         F.when(F.col("l_linenumber") == 1, F.array(F.lit("seed"))).otherwise(F.array(F.lit("same_dir"))).alias("discovered_by"),
@@ -78,7 +78,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CARDS_SQL = """
-SELECT l_suppkey AS request_id, 'm' || CAST(l_partkey % 7 AS VARCHAR) || '/' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '.go' AS path,
+SELECT l_suppkey AS request_id, 'm' || CAST(l_partkey % 7 AS VARCHAR) || '/' || concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) || '.go' AS path,
        l_orderkey * 10 + l_linenumber AS ord, l_linenumber = 1 AS is_seed, 'm' || CAST(l_partkey % 7 AS VARCHAR) AS module, l_linenumber = 7 AS configured,
        CAST(l_quantity AS INTEGER) AS n_symbols, CAST(l_discount * 10 AS DOUBLE) AS discovery, CAST(l_tax * 10 AS DOUBLE) AS heuristic,
        CASE l_returnflag WHEN 'R' THEN 'companion' WHEN 'A' THEN 'irrelevant' END AS llm_label, CAST(l_quantity AS DOUBLE) / 50 AS llm_conf
@@ -89,4 +89,4 @@ r0 AS (SELECT c.*, CASE WHEN s.module IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE
 r1 AS (SELECT *, discovery * 0.35::DOUBLE + module_weight * 0.15::DOUBLE + heuristic * 0.2::DOUBLE + 0::DOUBLE * 0.1::DOUBLE AS structural,
        CASE llm_label WHEN 'companion' THEN 0.7::DOUBLE * llm_conf ELSE 0::DOUBLE END AS llm_score FROM r0),
 r2 AS (SELECT *, least(CASE WHEN llm_label IS NOT NULL AND llm_conf > 0 THEN structural * (1 - 0.65::DOUBLE) + llm_score * 0.65::DOUBLE ELSE structural END, 1::DOUBLE) AS final FROM r1),
-r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final DESC, ord) AS rank FROM r2)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final DESC, ord, path) AS rank FROM r2)"""
