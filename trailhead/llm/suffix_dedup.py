@@ -27,6 +27,7 @@ PERIOD = 32
 CHUNK, BLOCK = 1 << 19, 1 << 17
 FLUSH = 12 << 20
 _POS = np.uint64((1 << 24) - 1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -154,7 +155,10 @@ def _runs(buckets: int, length: int):
             doc, lo, n = cols[2][again], cols[3][again], cols[5][again].astype(np.int64)
             gone: list[tuple[int, np.ndarray, np.ndarray]] = [(d, *merge(*own)) for d, own in _by_doc(doc, lo, lo + n - 1 + length)]
             cols = [c[~again] for c in cols]
-            bucket = ((cols[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            # an anchor is the least hash of many, so its own bits are uneven: buckets take them mixed again
+            bucket = ((common.mix64(cols[0] ^ _SPREAD) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, cols = bucket[order], [c[order] for c in cols]
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             share = -(-len(gone) // max(1, len(edge) - 1))
             for k, (x, y) in enumerate(zip(edge, edge[1:])):
