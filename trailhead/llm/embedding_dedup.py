@@ -19,57 +19,64 @@ LEAF = 64
 class Node:
     """A ball: centre, covering radius, and either children in half-radius balls or its points."""
 
-    __slots__ = ("centre", "radius", "rows", "kids")
+    __slots__ = ("centre", "radius", "rows", "kids", "centres", "radii")
 
-    def __init__(self, centre: np.ndarray, radius: float, rows: np.ndarray, kids: list[Node]):
-        self.centre, self.radius, self.rows, self.kids = centre, radius, rows, kids
+    def __init__(self, centre: np.ndarray, radius: float, rows: np.ndarray):
+        self.centre, self.radius, self.rows = centre, radius, rows
+        self.kids: list[Node] = []
+        self.centres = self.radii = None
+
+    def adopt(self, kids: list[Node]) -> None:
+        self.kids = kids
+        self.centres = np.stack([k.centre for k in kids])
+        self.radii = np.array([k.radius for k in kids])
 
 
 def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Chord distances of unit vectors from one."""
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ c)))
+    """Chord distances of unit vectors from one, or from each of several."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ c.T)))
 
 
 def cover_tree(x: np.ndarray, rows: np.ndarray, at: int, far: np.ndarray, least: float) -> Node:
     """Nested nets with halving radii over unit vectors.
 
     A node's points are covered by balls of half its radius around points of it; a ball is a child.
-    A node is a leaf when it is small, when its radius is below `least` (splitting it prunes
-    nothing), or when the half-radius net would hold a quarter of its points: in that metric its
-    points are all about as far from each other, and a matrix product beats a walk.
+    A node is a leaf when it is small or when its radius is below `least`, where no split can prune.
     """
-    radius = float(far.max(initial=0.0))
-    node = Node(x[at], radius, rows, [])
-    if len(rows) <= LEAF or radius <= least:
+    node = Node(x[at], float(far.max(initial=0.0)), rows)
+    if len(rows) <= LEAF or node.radius <= least:
         return node
-    left, dist, kids, most = rows, far, [], len(rows) // 4
+    left, kids = rows, []
     while len(left):
-        if len(kids) >= most:
-            return node
         c = int(left[0]) if kids else at
         d = _far(x[left], x[c])
-        near = d <= radius / 2
+        near = d <= node.radius / 2
         kids.append((c, left[near], d[near]))
         left = left[~near]
-    node.kids = [cover_tree(x, r, c, d, least) for c, r, d in kids]
+    node.adopt([cover_tree(x, r, c, d, least) for c, r, d in kids])
     return node
 
 
 def dual(x: np.ndarray, a: Node, b: Node, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaf pairs that may hold links; a node against itself gives each pair of children once."""
+    """Leaf pairs that may hold links. The bounds of all pairs of two nodes' children are one matrix, of
+    which only pairs that the covering radii allow go on; a node against itself gives each pair once."""
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
-        if p is not q and float(_far(p.centre[None], q.centre)[0]) > p.radius + q.radius + reach + 1e-9:
-            continue
         if not p.kids and not q.kids:
             yield p.rows, q.rows
-        elif p is q:
-            stack += [(k, m) for i, k in enumerate(p.kids) for m in p.kids[i:]]
-        elif not q.kids or p.kids and p.radius >= q.radius:
-            stack += [(k, q) for k in p.kids]
+            continue
+        left = p if p.kids and (p is q or not q.kids or p.radius >= q.radius) else q
+        right = q if left is p else p
+        if p is q or right.kids and right.radius >= left.radius / 2:
+            centres, radii, kids = right.centres, right.radii, right.kids
         else:
-            stack += [(p, k) for k in q.kids]
+            centres, radii, kids = right.centre[None], np.array([right.radius]), [right]
+        step = max(1, (1 << 21) // len(kids))
+        for k in range(0, len(left.kids), step):
+            near = _far(left.centres[k : k + step], centres) <= left.radii[k : k + step, None] + radii + reach + 1e-9
+            i, j = np.nonzero(np.triu(near, k) if p is q else near)
+            stack += [(left.kids[u + k], kids[v]) for u, v in zip(i.tolist(), j.tolist())]
 
 
 def _roots(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -136,7 +143,7 @@ def _assign(spread, dtype: str):
     return run
 
 
-def _deal(spread, dtype: str, reach: float):
+def _deal(spread, dtype: str, reach: float, block: int):
     """A row for each block pair that a vector can have a link in."""
     schema = pa.schema([("pair", pa.string()), ("side", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("vec", pa.binary())])
 
@@ -144,13 +151,9 @@ def _deal(spread, dtype: str, reach: float):
         pivots, cells = spread.value
         for batch in batches:
             rows = []
-            keys, cell, ids, ns, raws = common.columns(batch, "key", "cell", "id", "n", "vec")
-            for k, c, i, n, raw in zip(keys, cell, ids, ns, raws):
-                table = cells.get(k)
-                if table is None:  # a small label: one block
-                    rows.append((f"{k}|0.0|0.0", False, i, n, raw))
-                    continue
-                radius, parts = table
+            keys, cell, ids, ns, raws, sizes = common.columns(batch, "key", "cell", "id", "n", "vec", "size")
+            for k, c, i, n, raw, size in zip(keys, cell, ids, ns, raws, sizes):
+                radius, parts = cells.get(k) or (None, [-(-size // block)])  # without pivots a label is one cell
                 own = (c, i % parts[c])
                 if k in pivots:
                     d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots[k] @ _unit([raw], dtype)[0])))
@@ -233,18 +236,20 @@ def near_vectors(
 ) -> DataFrame:
     """(id, n_links, component_id, kept): exact threshold links among vectors of equal label.
 
-    Equal vectors are one class with a count. A label of over `block` classes gets pivots (the top
-    level of a cover tree, from a bounded sample); each class goes to its nearest pivot's cell, a
-    cell over `block` is split by id, and a class is sent to a pair of blocks only if the pivots'
-    covering radii allow a link there. Each block pair is one task's work: two cover trees and a
-    dual traversal; leaf pairs that survive are compared in double precision. A task returns a
-    count and a component per class, never its pairs. Only pivots, and a radius and a count for
-    each of at most pivots_per_label * max_labels cells, come to the driver.
+    Equal vectors are one class with a count. A label is cut into blocks of about `block` classes, and
+    each pair of blocks is one task's work: two cover trees and a dual traversal; leaf pairs that
+    survive are compared in double precision. A task returns a count and a component per class, never
+    its pairs. The `max_labels` largest labels get pivots first (the top level of a cover tree, from a
+    bounded sample): a class goes to its nearest pivot's cell, a cell over `block` is split by id, and a
+    class is sent to a pair of blocks only if the pivots' covering radii allow a link there. The other
+    labels are one cell, split alike, so that they too are compared whole. Only pivots, and a radius and
+    a count for each of at most pivots_per_label * max_labels cells, come to the driver.
 
     Edge cases: null labels, and null, empty or zero vectors or ones with null or non-finite
     components, link with nothing. Vectors of other lengths are not comparable. Rows that repeat an
     id with the same vector and label are one vector; with another, their links add up. A null id
-    is returned without links.
+    is returned without links; ids are cast to long, and one that cannot be raises. No rows give no
+    rows. Other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
@@ -271,7 +276,9 @@ def near_vectors(
             picked.append(int(far.argmax()))
             far = np.minimum(far, _far(x, x[picked[-1]]))
         pivots[r.key] = x[picked]
-    celled = classes.mapInArrow(_assign(spark.sparkContext.broadcast(pivots), dtype), "key string, vec binary, id long, n long, cell int, far double")
+    sizes = common.store(classes.groupBy("key").agg(F.count("*").alias("size")), light=True)
+    classes = common.store(classes.join(sizes, "key"))
+    celled = classes.mapInArrow(_assign(spark.sparkContext.broadcast(pivots), dtype), "key string, vec binary, id long, n long, size long, cell int, far double")
     cells: dict[str, tuple[np.ndarray, list[int]]] = {}
     if large:
         celled = common.store(celled)
@@ -283,7 +290,7 @@ def near_vectors(
                     radius[s.cell], parts[s.cell] = s.r, -(-s.c // block)
             cells[k] = (radius, parts)
     dealt = celled.mapInArrow(
-        _deal(spark.sparkContext.broadcast((pivots, cells)), dtype, reach), "pair string, side boolean, id long, n long, vec binary"
+        _deal(spark.sparkContext.broadcast((pivots, cells)), dtype, reach, block), "pair string, side boolean, id long, n long, vec binary"
     )
     found = common.store(dealt.groupBy("pair").applyInArrow(_join_blocks(dtype, cosine), "id long, links long, least long"))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
