@@ -64,13 +64,65 @@ def cost(n: int, linear: float, quadratic: float) -> float:
     return linear * n + quadratic * n * n
 
 
+class Open:
+    """Open sequences by remaining room: the cheapest with at least some room, in steps of log2(length).
+
+    Each room has a heap of (cost, sequence); a tree over the rooms holds the least top below each node.
+    """
+
+    def __init__(self, length: int):
+        self.size = 1 << length.bit_length()
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+        self.least: list[tuple[float, int] | None] = [None] * (2 * self.size)
+
+    def _mend(self, room: int) -> None:
+        x = room + self.size
+        heap = self.heaps.get(room)
+        self.least[x] = heap[0] if heap else None
+        while x > 1:
+            x //= 2
+            left, right = self.least[2 * x], self.least[2 * x + 1]
+            self.least[x] = left if right is None or left is not None and left < right else right
+
+    def add(self, room: int, spent: float, s: int) -> None:
+        heapq.heappush(self.heaps.setdefault(room, []), (spent, s))
+        self._mend(room)
+
+    def take(self, room: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest sequence with `room` or more, which is open no longer."""
+        best, x = None, room + self.size
+        at = x
+        while x >= 1:  # right-hand neighbours on the way up cover all larger rooms
+            for node in (x,) if x == room + self.size else ():
+                best, at = self.least[node], node
+            if x % 2 == 0 and (other := self.least[x + 1]) is not None and (best is None or other < best):
+                best, at = other, x + 1
+            x //= 2
+        return None if best is None else self._pop(at)
+
+    def widest(self) -> tuple[float, int, int]:
+        """The cheapest of the sequences with most room."""
+        x = 1
+        while x < self.size:
+            x = 2 * x + (self.least[2 * x + 1] is not None)
+        return self._pop(x)
+
+    def _pop(self, x: int) -> tuple[float, int, int]:
+        while x < self.size:
+            x = 2 * x if self.least[2 * x] == self.least[x] else 2 * x + 1
+        room = x - self.size
+        spent, s = heapq.heappop(self.heaps[room])
+        self._mend(room)
+        return spent, s, room
+
+
 def fill(sizes: list[int], length: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[tuple[int, int, int, int, int]]:
     """Assign documents to sequences: (index, start, size, sequence, offset) for each piece.
 
     Documents are cut into whole sequences first. The rests, by descending cost, go to the
-    sequence with the least cost that has room; a rest that fits nowhere is cut to fill the
-    sequence with most room. There are as few sequences as the tokens allow, so only one of
-    them can stay short.
+    sequence with the least cost (ties: the first) of all that have room; only a rest that fits
+    nowhere is cut, to fill the sequence with most room. There are as few sequences as the tokens
+    allow, so only one of them can stay short.
     """
     out, rests, n_seq = [], [], 0
     for i, size in enumerate(sizes):
@@ -79,45 +131,25 @@ def fill(sizes: list[int], length: int, linear: float = 1.0, quadratic: float =
             n_seq += 1
         if size % length:
             rests.append((size % length, -i))
-    total = sum(n for n, _ in rests)
-    open_ = -(-total // length)
-    room = [length] * open_
-    heap = [(0.0, s) for s in range(open_)]
-    rests.sort(reverse=True)
-
-    def put(i: int, at: int, n: int, s: int, spent: float) -> None:
-        out.append((i, at, n, n_seq + s, length - room[s]))
-        room[s] -= n
-        if room[s]:
-            heapq.heappush(heap, (spent + cost(n, linear, quadratic), s))
-
-    for n, i in rests:
+    open_ = Open(length)
+    for s in range(-(-sum(n for n, _ in rests) // length)):
+        open_.add(length, 0.0, s)
+    for n, i in sorted(rests, reverse=True):
         i, at = -i, sizes[-i] - n
-        tried = []
         while n:
-            while heap and room[heap[0][1]] < n and len(tried) < 32:
-                tried.append(heapq.heappop(heap))
-            if heap and room[heap[0][1]] >= n:
-                spent, s = heapq.heappop(heap)
-                put(i, at, n, s, spent)
-                n = 0
-            else:  # nothing tried has room: fill up the one with most room and go on with the rest
-                if not tried:
-                    tried.append(heapq.heappop(heap))
-                best = max(range(len(tried)), key=lambda x: (room[tried[x][1]], -tried[x][1]))
-                spent, s = tried.pop(best)
-                cut = min(n, room[s])
-                put(i, at, cut, s, spent)
-                at, n = at + cut, n - cut
-        for x in tried:
-            heapq.heappush(heap, x)
+            spent, s, room = open_.take(n) or open_.widest()
+            cut = min(n, room)
+            out.append((i, at, cut, n_seq + s, length - room))
+            if room > cut:
+                open_.add(room - cut, spent + cost(cut, linear, quadratic), s)
+            at, n = at + cut, n - cut
     return out
 
 
 def _pack(path: str, length: int, linear: float, quadratic: float, block_tokens: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()),
-         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_to", pa.int64())]
+         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_to", pa.int64()), ("sequence_cost", pa.float64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +161,10 @@ def _pack(path: str, length: int, linear: float, quadratic: float, block_tokens:
             nonlocal done, held
             pieces = fill([len(x[3]) for x in held], length, linear, quadratic)
             used: dict[int, int] = {}
+            spent: dict[int, float] = {}
             for _, _, n, s, _ in pieces:
                 used[s] = used.get(s, 0) + n
+                spent[s] = spent.get(s, 0.0) + cost(n, linear, quadratic)
             short = {s for s, n in used.items() if n < length} if not last else set()
             rows, kept = [], []
             names = {s: base + done + k for k, s in enumerate(sorted(set(used) - short))}
@@ -142,7 +176,7 @@ def _pack(path: str, length: int, linear: float, quadratic: float, block_tokens:
                     continue
                 full = used[s]
                 raw = part.tobytes()
-                rows.append((doc, before + at, n, raw, zlib.crc32(raw), total, names[s], offset, full if full & (full - 1) == 0 else length))
+                rows.append((doc, before + at, n, raw, zlib.crc32(raw), total, names[s], offset, full if full & (full - 1) == 0 else length, spent[s]))
             done += len(names)
             held = kept
             rows.sort(key=lambda r: (r[6], r[7]))
@@ -178,19 +212,20 @@ def pack_documents(
     """Pack every document's ids and the end id into sequences of at most `length` tokens.
 
     One row per piece: doc_id, start, length, ids (little-endian 32-bit), ids_crc32, doc_tokens,
-    sequence_id, offset, padded_to. The cost of a piece is linear * n + quadratic * n^2; pieces,
-    dearest first, go to the cheapest sequence with room. Each task packs its own rows in blocks
+    sequence_id, offset, padded_to, sequence_cost (the sum of its pieces' costs). The cost of a piece is linear * n + quadratic * n^2; pieces,
+    dearest first, go to the cheapest of all sequences with room. Each task packs its own rows in blocks
     of `block_tokens` (the bound on its memory) and carries a short last sequence to the next
     block, so a task leaves one short sequence at most; no row moves between tasks. A sequence
     that ends at a power of two is not padded.
 
     Edge cases: null or empty text is the end id alone. Rows that repeat an id are packed each
-    on its own. A null id is kept as null. Other columns are not read.
+    on its own. A null id is kept as null; ids are cast to long, and one that cannot be raises. No
+    rows give no rows. Other columns are not read, whatever their names.
     """
     common.small_batches(docs.sparkSession)
     path = tokenizer or vocabulary()
     named = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("__text"))
-    kinds = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
+    kinds = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long, sequence_cost double"
     out = named.mapInArrow(_pack(path, length, linear, quadratic, block_tokens), kinds)
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
 
