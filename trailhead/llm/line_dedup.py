@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 #: The white space that a key loses at both ends, and only that.
 BLANKS = b" \t\n\x0b\x0c\r"
+INTERNAL = ("__doc", "__text", "__drop", "__key")
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -42,19 +43,27 @@ def _keys(min_chars: int):
     return run
 
 
-def _reassemble(min_chars: int):
-    @F.pandas_udf("struct<text binary, n_dropped long>")
-    def run(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, drop in zip(texts, drops):
-            if drop is None or len(drop) == 0:
-                out.append((text, 0))
-                continue
-            gone = {bytes(k) for k in drop}
-            lines = text.split(b"\n")
-            kept = [x for x in lines if len(x) < min_chars or line_key(x, min_chars) not in gone]
-            out.append((b"\n".join(kept), len(lines) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "n_dropped"])
+def _reassemble(text_col: str, min_chars: int, fields: list[str]):
+    """Batches with their drop lists, to the new texts. A text without a drop list is handed on as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, drops = common.columns(batch, "__text", "__drop")
+            new, n_lines, n_dropped = [], [], []
+            for text, drop in zip(texts, drops):
+                total = text.count(b"\n") + 1
+                if drop:
+                    gone = set(drop)
+                    kept = [x for x in text.split(b"\n") if len(x) < min_chars or line_key(x, min_chars) not in gone]
+                    text = b"\n".join(kept)
+                    n_dropped.append(total - len(kept))
+                else:
+                    n_dropped.append(0)
+                new.append(text)
+                n_lines.append(total)
+            own = {text_col: pa.array(new, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(at[n]) for n in fields], names=fields)
 
     return run
 
@@ -65,7 +74,8 @@ def dedup_lines(
     """Drop each line whose key is in `min_docs` documents or more, but in the largest id holding it.
 
     Returns all columns of `docs` with the new text, n_lines (before) and n_dropped; columns of
-    those names are replaced. A text without a dropped line is unchanged; null becomes empty.
+    those names are replaced, and columns named __doc, __text, __drop or __key are not returned. A
+    text without a dropped line is unchanged; null becomes empty.
 
     Only (id, 128-bit key) pairs, one per document and key, are shuffled to be counted: Spark
     counts them distinct by (key, id) first, so a line in a third of all documents is spread
@@ -74,11 +84,13 @@ def dedup_lines(
     their own drop list, and lines keep their order within the text.
 
     Edge cases: null text is one empty line. Rows that repeat an id count as one document and
-    each gets the same treatment. A null id counts for nothing and keeps all its lines.
+    each gets the same treatment. A null id counts for nothing and keeps all its lines. Ids are cast
+    to long, and one that cannot be raises. Texts of any length are split whole. No rows give no rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    named = docs.select(F.col(id_col).cast("long").alias("__doc"), common.as_bytes(F.col(text_col)).alias("__text"))
+    key = F.col(id_col).cast("long")
+    named = docs.select(key.alias("__doc"), common.as_bytes(F.col(text_col)).alias("__text"))
     pairs = common.store(named.where("__doc is not null").mapInArrow(_keys(min_chars), "__doc long, __key binary"))
     frequent = common.store(
         pairs.groupBy("__key")
@@ -92,14 +104,15 @@ def dedup_lines(
         .groupBy("__doc")
         .agg(F.collect_set("__key").alias("__drop"))
     )
-    out = docs.join(drops, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    raw = common.as_bytes(F.col(text_col))
-    out = out.withColumn("__out", _reassemble(min_chars)(raw, F.col("__drop")))
-    new = {
-        text_col: F.col("__out.text").cast("string"),
-        "n_lines": F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long"),
-    }
-    return out.withColumns(new | {"n_dropped": F.col("__out.n_dropped")}).drop("__out", "__doc", "__drop")
+    rest = docs.drop(text_col, "n_lines", "n_dropped", *INTERNAL)
+    rest = docs.select(key.alias("__doc"), common.as_bytes(F.col(text_col)).alias("__text"), *[F.col(f"`{c}`") for c in rest.columns])
+    out = rest.join(drops, "__doc", "left")
+    kinds = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", *INTERNAL)]
+    shape = docs.select(*kinds, F.lit("").alias(text_col), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped", *INTERNAL)] + ["n_lines", "n_dropped"]
+    shape = shape.select(*[F.col(f"`{c}`") for c in order])
+    fields = [T.StructField(f.name, f.dataType, True) for f in shape.schema]
+    return out.mapInArrow(_reassemble(text_col, min_chars, order), T.StructType(fields))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
