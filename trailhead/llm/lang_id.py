@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN = re.compile("[A-Za-z]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """If a character of Unicode category L occurs; numerals such as a half or a Roman one are none."""
+    return PLAIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 def features(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The bucket of each run of n code points."""
     m = len(codes) - n + 1
@@ -104,17 +109,20 @@ class Model:
 
 def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-    max_rows_per_lang: int = 5000, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, alpha: float = 0.5,
+    max_rows_per_lang: int = 5000, max_langs: int = 256, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, alpha: float = 0.5,
 ) -> Model:
     """Fit on at most about `max_rows_per_lang` rows of each language, chosen by a hash of the id.
 
     Tasks count their rows into one dense matrix and give its nonzero cells; Spark sums them, and
-    2^bits * languages sums at most come to the driver.
+    2^bits * languages sums at most come to the driver. More than `max_langs` languages raise, because
+    a task holds a matrix of them all (64 MB at the default).
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, 1 << bits)), np.zeros(0), orders, bits)
@@ -140,7 +148,7 @@ def _predict(spread):
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             texts = batch.column(at).to_pylist()
-            sure = [i for i, t in enumerate(texts) if t is not None and model.langs and LETTER.search(t)]
+            sure = [i for i, t in enumerate(texts) if t is not None and model.langs and has_letter(t)]
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if sure:
                 best, p = model.score([texts[i] for i in sure])
@@ -155,17 +163,18 @@ def _predict(spread):
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns with lang_pred and score (the posterior of that language).
+    """`keep` columns with lang_pred and score (the posterior of that language); columns of these names are replaced.
 
     The log-probability matrix is broadcast: its size is 2^bits * languages floats. Scoring is
     row-wise sums of matrix cells over a batch's n-grams.
 
     Edge cases: null text, or text without a letter, or a model without languages: `und`, 0.
-    Long texts are read in parts. Rows that repeat are scored alike. No rows give no rows.
+    Long texts are read in parts. Rows that repeat are scored alike. Ids are not read. No rows give
+    no rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    named = docs.select(*keep, F.col(text_col).alias("__text"))
+    named = docs.select(*[c for c in keep if c not in ("lang_pred", "score", "__text")], F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "__text")
     return named.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{fields}, lang_pred string, score double")
 

@@ -102,7 +102,7 @@ class Mil:
             order = r.permutation(len(bags))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
-                x = np.concatenate([bags[i] for i in pick])
+                x = np.concatenate([bags[i] for i in pick]).astype(np.float32)
                 n = np.array([len(bags[i]) for i in pick])
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 own = np.repeat(np.arange(len(pick)), n)
@@ -157,14 +157,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_per_class: int = 1500, max_chars: int = 50_000, **fit,
+    max_per_class: int = 1500, max_chars: int = 20_000, **fit,
 ) -> Mil | float:
     """Learn from at most `max_per_class` documents of each label, the first in the order of a hash of the id.
 
     The sample is taken from the labels alone: at most 2 * max_per_class ids, which are broadcast to
     the texts, so no text is shuffled. Documents of over `max_chars` characters are not learned from
     (they are scored), so what comes to the driver is bounded: bags of max_chars / 512 encoded
-    passages each. With one label only, its value is the model; with none, 0.5.
+    passages of 2 KB each, 240 MB at most. With one label only, its value is the model; with none, 0.5.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -182,9 +182,10 @@ def train(
         return float(rows[0].label) if rows else 0.5
     bags: dict[tuple, list] = {}
     for r in sorted(rows, key=lambda r: (r.doc, r.part)):
-        bags.setdefault((r.doc, r.label), []).append(np.frombuffer(r.bag, "<f2").reshape(-1, WIDTH).astype(np.float32))
+        bags.setdefault((r.doc, r.label), []).append(np.frombuffer(r.bag, "<f2").reshape(-1, WIDTH))
+    del rows
     model = Mil()
-    model.fit([np.concatenate(b) for b in bags.values()], np.array([k[1] for k in bags]), **{"share": sizes[1] / sum(sizes.values())} | fit)
+    model.fit([b[0] if len(b) == 1 else np.concatenate(b) for b in bags.values()], np.array([k[1] for k in bags]), **{"share": sizes[1] / sum(sizes.values())} | fit)
     return model
 
 
@@ -203,14 +204,15 @@ def _score(spread):
 
 
 def score_quality(docs: DataFrame, model: Mil | float, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and score. The model (about 140 KB) is broadcast; every passage of every text is read.
+    """`keep` columns and score; a column of that name is replaced. The model (about 140 KB) is broadcast;
+    every passage of every text is read.
 
     Edge cases: null and empty texts have one empty passage and so a score. Repeated rows score
     alike. `keep` may hold the text column itself. No rows give no rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    named = docs.select(*keep, F.col(text_col).alias("__text"))
+    named = docs.select(*[c for c in keep if c not in ("score", "__text")], F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "__text")
     return named.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"{fields}, score double")
 
