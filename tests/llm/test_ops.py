@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -72,6 +73,17 @@ def test_line_dedup(docs_of):
 # --- language ID
 
 
+def test_line_dedup_edges(docs_of):
+    line = "a line of more than forty characters, for the test"
+    docs = docs_of([(i, f"{line}\nown {i}") for i in range(6)] + [(None, line), (3, f"{line}\nown 3"), (9, None)])
+    odd = docs.withColumns({c: F.lit(1) for c in ("__drop", "__out", "__key", "n_lines", "n_dropped")})
+    got = line_dedup.dedup_lines(odd)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "__out", "n_lines", "n_dropped"]
+    want = sorted([(i, f"own {i}", 2, 1) for i in (0, 1, 2, 3, 3, 4)] + [(5, f"{line}\nown 5", 2, 0), (-1, line, 1, 0), (9, "", 1, 0)])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == want
+    assert line_dedup.dedup_lines(odd.where("false")).count() == 0
+
+
 def test_lang_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = lang_id.op2_lang_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -85,6 +97,51 @@ def test_lang_id(spark):
     assert {r.lang_pred for r in lang_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_lang_brute(spark):
+    """The same model with dictionaries and code points one at a time; clashing names, repeated rows, no rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    known = docs.where(~lang_id.common.held_out(F.col("doc_id")))
+    model = lang_id.train(known)
+    orders, bits = (1, 2, 3), 15
+
+    def bucket(gram):
+        h = 0x9E37 + len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+        return h >> 32 - bits
+
+    def grams(text):
+        text = f" {text.lower()} "
+        return [bucket(text[i : i + n]) for n in orders for i in range(len(text) - n + 1)]
+
+    count, rows_of = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in known.where("lang is not null and text is not null").collect():
+        rows_of[r.lang] += 1
+        for b in grams(r.text):
+            count[r.lang][b] += 1
+    total = {x: sum(count[x].values()) + 0.5 * (1 << bits) for x in count}
+
+    def score(text):
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            return "und", 0.0
+        found = grams(text)
+        at = {x: np.log(rows_of[x] / sum(rows_of.values())) + sum(np.log((count[x][b] + 0.5) / total[x]) for b in found) for x in sorted(count)}
+        best = max(at, key=lambda x: (at[x], [-ord(c) for c in x]))
+        return best, 1 / sum(np.exp(v - at[best]) for v in at.values())
+
+    texts = [r.text for r in docs.limit(25).collect()] + ["½ ²", "Ⅷ ʰ", "é", "漢", "the", "the", None, ""]
+    odd = spark.createDataFrame([(i, t, 3, "x") for i, t in enumerate(texts)], "doc_id long, text string, score int, lang_pred string")
+    got = lang_id.identify(odd, model, keep=("doc_id", "score", "lang_pred"))
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    for r in got.collect():
+        lang, p = score(texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - p) < 1e-9
+    assert lang_id.identify(odd.where("false"), model).count() == 0
+    with pytest.raises(ValueError):
+        lang_id.train(known, max_langs=1)
+
+
 def test_lang_features_in_parts():
     text = "abcdefghij" * 30
     whole = [(n.tolist(),) for _, _, n in lang_id.chunks([text], (1, 2, 3), 12)]
@@ -232,10 +289,31 @@ def test_near_groups_other_ways(docs_of, monkeypatch):
     docs = near_case(3, groups=8, copies=6)
     want = brute_near(docs)
     assert rows(near_join.near_groups(docs_of(docs), popular_keys=8), "doc_id", "n_shingles", "component_id") == want
-    monkeypatch.setattr(near_join, "weak", lambda *a: True)
+    monkeypatch.setattr(near_join, "weak_bands", lambda found: frozenset(range(31)))
+    assert rows(near_join.near_groups(docs_of(docs)), "doc_id", "n_shingles", "component_id") == want
+    monkeypatch.setattr(near_join, "PART", 3)
     assert rows(near_join.near_groups(docs_of(docs)), "doc_id", "n_shingles", "component_id") == want
     assert near_join.near_groups(docs_of([])).count() == 0
     assert rows(near_join.near_groups(docs_of([(1, "a b"), (1, "a b")])), "doc_id", "component_id") == [(1, 1)]
+    odd = docs_of([(None, "a b"), (1, "a b"), (1, "c d"), (2, "a b"), (3, "c d")])
+    assert rows(near_join.near_groups(odd), "doc_id", "component_id") in ([(1, 1), (2, 1), (3, 3)], [(1, 1), (2, 2), (3, 1)])
+
+
+def test_near_groups_hub_and_chain(docs_of):
+    """A large group of copies that are near to one text only, and a chain whose neighbours alone are near."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    hub = []
+    for i in range(150):
+        own = list(base)
+        for at in r.sample(range(0, 200, 12), 4):
+            own[at] = f"x{i}.{at}"
+        hub.append((2000 + i, " ".join(own)))
+    line = [f"c{i}" for i in range(900)]
+    chain = [(5000 + k, " ".join(line[8 * k : 8 * k + 120])) for k in range(90)]
+    docs = [(2500, " ".join(base)), *hub, *chain]
+    r.shuffle(docs)
+    assert rows(near_join.near_groups(docs_of(docs)), "doc_id", "n_shingles", "component_id") == brute_near(docs)
 
 
 @settings(max_examples=60, deadline=None)
@@ -326,6 +404,63 @@ def test_quality(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_mil_brute():
+    """The forward pass passage by passage, and each gradient against differences of the loss."""
+    r = np.random.default_rng(2)
+    model = quality.Mil(hidden=3, gate=2)
+    model.start(quality.WIDTH)
+    texts = ["abc " * 300, "ab", "", "x y z " * 700]
+    for text, got in zip(texts, model.score(texts)):
+        p = model.par
+        hs, es = [], []
+        for _, x in quality.passages([text]):
+            for row in x:
+                h = np.tanh(row @ p["W"] + p["b"])
+                hs.append(h)
+                es.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+        a = np.exp(np.array(es) - max(es))
+        z = (a / a.sum()) @ np.array(hs)
+        assert abs(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))) - got) < 1e-5
+
+    bags = [r.standard_normal((n, 5)) for n in (1, 2, 4)]
+    y = np.array([1, 0, 1])
+
+    def loss(par):
+        out = 0.0
+        for x, t in zip(bags, y):
+            h = np.tanh(x @ par["W"] + par["b"])
+            e = (np.tanh(h @ par["V"]) / (1 + np.exp(-(h @ par["U"])))) @ par["w"]
+            a = np.exp(e - e.max())
+            q = 1 / (1 + np.exp(-((a / a.sum()) @ h @ par["c"] + par["d"][0])))
+            out -= t * np.log(q) + (1 - t) * np.log(1 - q)
+        return out / len(bags)
+
+    start = quality.Mil(hidden=3, gate=2)
+    start.start(5)
+    before = {k: v.astype(float).copy() for k, v in start.par.items()}
+    after = quality.Mil(hidden=3, gate=2)
+    after.fit(bags, y, epochs=1, batch=3, rate=1e-3, decay=0.0)
+    for k, v in before.items():  # the first step of Adam is the rate against the gradient's sign
+        for at in np.ndindex(v.shape):
+            up, down = ({n: a.copy() for n, a in before.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            g = (loss(up) - loss(down)) / 2e-5
+            if abs(g) > 1e-3:
+                assert abs(after.par[k][at] - v[at] + 1e-3 * np.sign(g)) < 2e-5, (k, at, g)
+
+
+def test_quality_edges(spark):
+    model = quality.Mil()
+    model.start(quality.WIDTH)
+    odd = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, None, 5)], "doc_id long, text string, score int")
+    got = quality.score_quality(odd, model, keep=("doc_id", "score", "text"))
+    assert got.columns == ["doc_id", "text", "score"] and got.count() == 3
+    assert got.where("doc_id = 1").select("score").distinct().count() == 1
+    assert quality.score_quality(odd.where("false"), model).count() == 0
+    assert quality.drop_rejected(odd.where("false"), model).count() == 0
+
+
 def test_mil_long_text_in_parts():
     model = quality.Mil()
     model.start(quality.WIDTH)
@@ -406,6 +541,35 @@ def test_fill(sizes):
         assert sum(n for _, n in doc[i]) == size
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 120), max_size=40), st.sampled_from([1, 2, 7, 16, 40]))
+def test_fill_brute(sizes, length):
+    """The rule said plainly: dearest rest first, to the cheapest of all sequences with room, else cut to fill the roomiest."""
+    rests = sorted(((n % length, -i) for i, n in enumerate(sizes) if n % length), reverse=True)
+    whole = sum(n // length for n in sizes)
+    room = [length] * -(-sum(n for n, _ in rests) // length)
+    spent = [0.0] * len(room)
+    want = []
+    for n, i in rests:
+        at = sizes[-i] - n
+        while n:
+            fits = [s for s in range(len(room)) if room[s] >= n] or [s for s in range(len(room)) if room[s] == max(room)]
+            s = min(fits, key=lambda s: (spent[s], s))
+            cut = min(n, room[s])
+            want.append((-i, at, cut, whole + s, length - room[s]))
+            room[s], spent[s] = room[s] - cut, spent[s] + packing.cost(cut, 1.0, 1 / 2048)
+            at, n = at + cut, n - cut
+    assert [x for x in packing.fill(sizes, length) if x[3] >= whole] == want
+
+
+def test_packing_edges(docs_of):
+    odd = docs_of([(None, "a b"), (1, None), (1, "x")]).withColumn("sequence_id", F.lit("clash"))
+    got = packing.pack_documents(odd.coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.length == r.doc_tokens) for r in got) == [(0, True), (1, True), (1, True)]
+    assert {round(r.sequence_cost, 9) for r in got} == {round(sum(packing.cost(r.length, 1.0, 1 / 2048) for r in got), 9)}
+    assert packing.pack_documents(odd.where("false")).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=40) | st.text(alphabet="don't'ŝ 's \t\n é1²", max_size=40))
 def test_encode_is_tokenizers(text):
@@ -451,6 +615,46 @@ def test_near_vectors(spark, block):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_many_dimensions(spark):
+    """64 dimensions: copies just above and just below the threshold, several labels, a label over a block and one without pivots."""
+    r = np.random.default_rng(8)
+    data = []
+    for label, n in (("a", 30), ("b", 8), ("c", 3)):
+        for _ in range(n):
+            v = r.standard_normal(64)
+            v /= np.linalg.norm(v)
+            data.append((len(data), v.tolist(), label))
+            for cosine in (0.93 + 1e-9, 0.93 - 1e-9, 0.95, 0.9, 1.0):
+                w = r.standard_normal(64)
+                w -= (w @ v) * v
+                w /= np.linalg.norm(w)
+                data.append((len(data), (cosine * v + np.sqrt(max(0, 1 - cosine**2)) * w).tolist(), label))
+    data.append(data[5])
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")
+    want = brute_vectors([x for i, x in enumerate(data) if i < len(data) - 1])
+    got = rows(embedding_dedup.near_vectors(df, block=50, max_labels=1), "vec_id", "n_links", "component_id", "kept")
+    assert sorted(set(got)) == want and len(got) == len(want) + 1
+    assert sum(n > 0 for _, n, _, _ in want) > 100
+
+
+def test_cover_tree_prunes_in_many_dimensions():
+    """Points that are all far from each other become balls of one point, and bounds alone part them."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((1500, 64))
+    x[750:] = x[:750] + 0.05 * r.standard_normal((750, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    reach = np.sqrt(2 - 2 * 0.93)
+    tree = embedding_dedup.cover_tree(x, np.arange(1500), 0, embedding_dedup._far(x, x[0]), reach / 4)
+    assert tree.kids
+    pairs, hits = 0, 0
+    for p, q in embedding_dedup.dual(x, tree, tree, reach):
+        pairs += len(p) * len(q)
+        hit = x[p] @ x[q].T >= 0.93
+        hits += int(np.triu(hit, 1).sum() if p is q else hit.sum())
+    assert hits == np.triu(x @ x.T >= 0.93, 1).sum() == 750
+    assert pairs < 10_000
+
+
 def test_cover_tree_prunes_nothing_near():
     r = np.random.default_rng(5)
     x = np.concatenate([c + 0.05 * r.standard_normal((120, 6)) for c in r.standard_normal((20, 6))])

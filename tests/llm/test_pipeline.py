@@ -11,6 +11,26 @@ from trailhead.llm import quality
 SF = "/root/testdata/sf0.001"
 
 
+def test_stage_edges(spark):
+    """Null ids and texts, empty, very long and repeated texts, clashing columns, an empty table."""
+    line = "a line of well over forty characters that repeats everywhere"
+    texts = [(1, None), (2, ""), (None, "no id at all"), (4, "word " * 60_000), (5, "same text here, of some words"), (5, "same text here, of some words"), (6, "same text here, of some words")]
+    texts += [(10 + i, f"{line}\n{i} own words {i} of text {i} number {i}") for i in range(6)]
+    rows = [(i, t, "en", "s", None if t is None else len(t), 1, "x") for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, rep string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        if name != "packing":
+            assert got.columns == docs.columns
+        kept[name] = sorted((-1 if r.doc_id is None else r.doc_id) for r in got.select("doc_id").collect())
+    ids = sorted(-1 if i is None else i for i, _ in texts)
+    assert set(kept["quality"]) <= set(ids)
+    assert kept["line_dedup"] == ids and kept["decontaminate"] == ids and set(kept["packing"]) == set(ids)
+    assert kept["near_join"] == [i for i in ids if i != 6]
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
