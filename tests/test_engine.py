@@ -304,3 +304,27 @@ def test_against_sql(spark, name):
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_hot_base_name(spark):
+    """A name that very many directories have: an exact path still resolves to one file."""
+    many = [(f"d{i}/index.ts", "import { a } from './util';") for i in range(2000)] + [(f"d{i}/util.ts", "") for i in range(2000)]
+    edges = graph.import_edges(spark.createDataFrame(many, "path string, content string"))
+    assert edges.count() == 2000
+    assert edges.where("substring_index(src, '/', 1) <> substring_index(dst, '/', 1)").isEmpty()
+
+
+def test_lines_cut_inside_a_character(spark):
+    from pyspark.sql import functions as F
+
+    from trailhead.functions import extract
+
+    row = spark.createDataFrame([("a\u00e9\nb",)], "t string").select(extract.lines(F.col("t"), 2).alias("x"), extract.lines(F.col("t"), 3).alias("y")).first()
+    assert row.x == ["a\ufffd"] and row.y == ["a\u00e9"]
+
+
+def test_flags_with_commas():
+    from trailhead import cli
+
+    a = cli.parser().parse_args(["run", "-t", "x", "-s", "a.go, b.go", "-s", "c.go", "--no-color", "-q"])
+    assert cli.request_of(a).seed_files == ["a.go", "b.go", "c.go"] and a.color is False and a.quiet

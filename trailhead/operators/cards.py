@@ -12,6 +12,8 @@ from trailhead.functions import rules as R
 # The score of each way of discovery.
 DISCOVERY = {"seed": 1.0, "import": 0.7, "sibling_match": 0.5, "symbol_hit": 0.3, "same_dir": 0.2, "prefix_match": 0.2, "same_module": 0.1}
 SYMBOL_BOOST = 0.2
+# Files of more bytes have no symbols read.
+MAX_SYMBOL_BYTES = 500 * 1024
 
 
 def discovery_score(sources: Column) -> Column:
@@ -38,7 +40,8 @@ def build_cards(
     none = F.array().cast("array<string>")
     profiled = R.profile_rules(path) if profile and R.matches_profile(profile) else F.lit(None).cast("struct<tags:array<string>,score:double,discovered_by:array<string>>")
     out = out.withColumns({"lang": P.language(path), "module": P.module(path), "basic": R.basic_rules(path, focus_checks), "own": profiled})
-    found = F.when(F.col("lang").isin(P.SOURCE), X.symbol_names(F.coalesce("content", F.lit("")), F.col("lang"), max_symbols)).otherwise(none)
+    small = F.coalesce(F.octet_length("content"), F.lit(0)) <= MAX_SYMBOL_BYTES
+    found = F.when(F.col("lang").isin(P.SOURCE) & small, X.symbol_names(F.coalesce("content", F.lit("")), F.col("lang"), max_symbols)).otherwise(none)
     out = out.withColumns({"symbols": found, "neighbors": F.coalesce("neighbors", none)})
     hit = R.symbol_hit(path, F.col("symbols"), focus_symbols or [])
     out = out.withColumn("hit", F.coalesce(hit, F.lit(False)))

@@ -44,24 +44,26 @@ def by_module(seeds: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def by_prefix(seeds: DataFrame, files: DataFrame, least: int = 3) -> DataFrame:
-    """Names that begin with the first half of a seed's name, at least `least` long: an equi-join on each prefix."""
+    """Names that begin with the first half of a seed's name, at least `least` long: an equi-join on prefixes of the lengths that seeds have."""
     least = least if least > 0 else 3
     n = F.length("stem")
     size = F.greatest(F.lit(least), F.floor(n / 2).cast("int"))
     own = seeds.where(n >= least).select("ord", F.lower(F.substr("stem", F.lit(1), size)).alias("prefix"))
-    cuts = F.transform(F.sequence(F.lit(least), n), lambda i: F.lower(F.substr("stem", F.lit(1), i)))
+    lengths = sorted(r[0] for r in own.select(F.length("prefix")).distinct().collect())  # at most as many as a name has letters
+    cuts = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda i: i <= n), lambda i: F.lower(F.substr("stem", F.lit(1), i)))
     each = files.where(n >= least).select("path", F.explode(cuts).alias("prefix"))
     return own.join(each, "prefix").select("path", "ord")
 
 
 def by_sibling(seeds: DataFrame, files: DataFrame) -> DataFrame:
-    """Tests with what they test, sources with their headers, in one directory or module."""
+    """Tests with what they test, sources with their headers, in one directory or module: a join for each, so that a common name alone pairs nothing."""
     s = seeds.select("ord", *[F.col(c).alias(f"s_{c}") for c in ("path", "dir", "module", "stem", "companion", "ext")])
-    both = s.join(files, F.col("s_companion") == F.col("companion"))
-    near = (F.col("s_dir") == F.col("dir")) | (F.col("s_module") == F.col("module"))
+    same = F.col("s_companion") == F.col("companion")
+    in_dir, in_module = (s.join(files, same & (F.col(f"s_{c}") == F.col(c))) for c in ("dir", "module"))
+    both = in_dir.unionByName(in_module)
     pair = P.is_test_pair(F.col("s_stem"), F.col("stem")) | P.is_header_pair(F.col("s_ext"), F.col("ext"))
     named = (F.col("companion") != "") & (F.col("stem") != "") & (F.col("s_stem") != "")
-    return both.where((F.col("s_path") != F.col("path")) & named & near & pair).select("path", "ord")
+    return both.where((F.col("s_path") != F.col("path")) & named & pair).select("path", "ord")
 
 
 def by_import(seeds: DataFrame, nbrs: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trailhead.functions import extract as X
 from trailhead.functions import paths as P
@@ -100,8 +99,10 @@ RESOLVERS = {
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, imp_ord, imp, dst): the targets of the first probe of each import that finds any.
 
-    `imports` has (src, lang, imp_ord, imp). Probes of all languages meet one index in one
-    equi-join; the index is as large as the tree, so Spark chooses broadcast or shuffle by size.
+    `imports` has (src, lang, imp_ord, imp). Probes of all languages meet the distinct keys of one
+    index in one equi-join, which at most keeps a probe; one aggregation takes each import's first; and
+    only that one fetches its targets. So an import that an exact path resolves is never paired with all
+    the files of a common name. Spark chooses broadcast or shuffle by size.
     """
     col = F.when(F.lit(False), _probes(("base", F.lit(""))))
     for langs, make in RESOLVERS.items():
@@ -113,10 +114,10 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     for kind, make in named:
         one = make(files).select(F.lit(kind).alias("kind"), "key", F.col("path").alias("dst"))
         index = one if index is None else index.unionByName(one)
-    hits = probes.join(index, ["kind", "key"])
-    first = Window.partitionBy("src", "imp_ord")
-    hits = hits.withColumn("__first", F.min("probe").over(first)).where("probe = __first")
-    return hits.select("src", "imp_ord", "imp", "dst")
+    known = probes.join(index.select("kind", "key").distinct(), ["kind", "key"])
+    first = known.groupBy("src", "imp_ord", "imp").agg(F.min(F.struct("probe", "kind", "key")).alias("p"))
+    first = first.select("src", "imp_ord", "imp", F.col("p.kind").alias("kind"), F.col("p.key").alias("key"))
+    return first.join(index, ["kind", "key"]).select("src", "imp_ord", "imp", "dst")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:

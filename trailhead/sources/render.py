@@ -96,12 +96,17 @@ def eval_text(summary: Row, samples: list[Row]) -> str:
     return "".join(out)
 
 
+def eval_json(summary: Row, samples: list[Row]) -> str:
+    """The same metrics as JSON: the summary and a list of samples."""
+    return json.dumps({"summary": summary.asDict(recursive=True), "samples": [r.asDict(recursive=True) for r in samples]}, indent=2, ensure_ascii=False)
+
+
 class Progress:
     """Phases as Spark job descriptions and, unless quiet, as lines on standard error; colours where a terminal wants them."""
 
-    def __init__(self, spark, quiet: bool = False):
+    def __init__(self, spark, quiet: bool = False, colour: bool | None = None):
         self.sc, self.quiet = spark.sparkContext, quiet
-        self.colour = sys.stderr.isatty() and "NO_COLOR" not in os.environ
+        self.colour = sys.stderr.isatty() and "NO_COLOR" not in os.environ if colour is None else colour
 
     def start(self, what: str) -> None:
         self.sc.setJobDescription(what)
