@@ -692,9 +692,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.select("__doc", "__text", F.struct(F.xxhash64("__text").alias("h1"), F.xxhash64(F.lit(1), "__text").alias("h2")).alias("__h"))
     members = common.store(named.groupBy("__doc").agg(F.min("__h").alias("h")).select(F.col("__doc").alias("doc"), "h.h1", "h.h2"), light=True)
     reps = common.store(members.groupBy("h1", "h2").agg(F.min("doc").alias("rep")), light=True)
-    # joined by the id alone, so that what a task writes is one bucket of the table
-    one = reps.select("rep", F.struct("h1", "h2").alias("__r"))
-    texts = named.join(one.hint("merge"), (F.col("__doc") == F.col("rep")) & ~(F.col("__h") != F.col("__r")), "left_semi").select("__doc", "__text")
+    # dealt by the id alone, so that what a task writes is one bucket of the table: an equality, however
+    # negated, would become a second key of the exchange, so the hashes are compared by XOR
+    one = reps.select("rep", F.col("h1").alias("__r1"), F.col("h2").alias("__r2"))
+    same = (F.col("__h.h1").bitwiseXOR(F.col("__r1")) == 0) & (F.col("__h.h2").bitwiseXOR(F.col("__r2")) == 0)
+    texts = named.join(one.hint("merge"), (F.col("__doc") == F.col("rep")) & same, "left_semi").select("__doc", "__text")
     kinds = "rep long, n long, weak int, key long, bits binary, hashes binary"
     stored = common.store(texts.mapInArrow(_sets(8, popular_keys // 8), kinds), free=True, by="rep")
     sets = stored.where("rep is not null")
