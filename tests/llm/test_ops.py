@@ -299,6 +299,23 @@ def test_near_groups_other_ways(docs_of, monkeypatch):
     assert rows(near_join.near_groups(odd), "doc_id", "component_id") in ([(1, 1), (2, 1), (3, 3)], [(1, 1), (2, 2), (3, 1)])
 
 
+def test_near_sets_lie_in_one_file_a_bucket(docs_of, monkeypatch):
+    """What a task writes of the table of sets is one bucket: its exchange is by the id alone."""
+    kept, real = [], near_join.common.store
+
+    def store(df, *args, by=None, **more):
+        out = real(df, *args, by=by, **more)
+        if by:
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(near_join.common, "store", store)
+    df = docs_of([(i, " ".join(f"w{i}.{j}" for j in range(30))) for i in range(400)])
+    assert near_join.near_groups(df).count() == 400
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert len(kept) == 1 and len(kept[0].inputFiles()) <= 2 * buckets  # rows of popular keys have no id, and a bucket of their own
+
+
 def test_near_groups_hub_and_chain(docs_of):
     """A large group of copies that are near to one text only, and a chain whose neighbours alone are near."""
     r = random.Random(5)
