@@ -48,18 +48,23 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, at: int, far: np.ndarray, least:
         return node
     left, kids = rows, []
     while len(left):
-        c = int(left[0]) if kids else at
-        d = _far(x[left], x[c])
-        near = d <= node.radius / 2
-        kids.append((c, left[near], d[near]))
-        left = left[~near]
+        some = left[: min(len(kids), 64)] if kids else np.array([at])
+        table, free = _far(x[left], x[some]), np.ones(len(left), dtype=bool)
+        for k, c in enumerate(some.tolist()):  # each centre is the first point that no ball before it covers
+            if kids and not free[k]:
+                continue
+            near = np.flatnonzero(free & (table[:, k] <= node.radius / 2))
+            free[near] = False
+            kids.append((c, left[near], table[near, k]))
+        left = left[free]
     node.adopt([cover_tree(x, r, c, d, least) for c, r, d in kids])
     return node
 
 
 def dual(x: np.ndarray, a: Node, b: Node, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaf pairs that may hold links. The bounds of all pairs of two nodes' children are one matrix, of
-    which only pairs that the covering radii allow go on; a node against itself gives each pair once."""
+    """Rows that may hold links: a leaf's and those of all leaves beside it that the radii allow. The bounds of
+    all pairs of two nodes' children are one matrix, of which only pairs that the covering radii allow go
+    on; a node against itself gives each pair once, and a leaf against itself the same rows twice."""
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
@@ -72,16 +77,26 @@ def dual(x: np.ndarray, a: Node, b: Node, reach: float) -> Iterator[tuple[np.nda
             centres, radii, kids = right.centres, right.radii, right.kids
         else:
             centres, radii, kids = right.centre[None], np.array([right.radius]), [right]
+        leaf = np.array([not k.kids for k in kids])
         step = max(1, (1 << 21) // len(kids))
         for k in range(0, len(left.kids), step):
             near = _far(left.centres[k : k + step], centres) <= left.radii[k : k + step, None] + radii + reach + 1e-9
-            i, j = np.nonzero(np.triu(near, k) if p is q else near)
-            stack += [(left.kids[u + k], kids[v]) for u, v in zip(i.tolist(), j.tolist())]
+            near = np.triu(near, k) if p is q else near
+            for u, kid in enumerate(left.kids[k : k + step]):
+                beside = near[u]
+                if p is q and beside[k + u]:
+                    stack.append((kid, kid))
+                    beside[k + u] = False
+                if kid.kids:
+                    stack += [(kid, kids[v]) for v in np.flatnonzero(beside)]
+                    continue
+                stack += [(kid, kids[v]) for v in np.flatnonzero(beside & ~leaf)]
+                if (beside & leaf).any():
+                    yield kid.rows, np.concatenate([kids[v].rows for v in np.flatnonzero(beside & leaf)])
 
 
-def _roots(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index that each of n reaches."""
-    root = np.arange(n)
+def _merged(root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest index that each reaches, where `root` holds what it reached before these links."""
     if not links:
         return root
     i, j = (np.concatenate(c) for c in zip(*links))
@@ -194,7 +209,7 @@ def _join_blocks(dtype: str, cosine: float):
             return cover_tree(x, rows, int(rows[0]), _far(x[rows], x[rows[0]]), reach / 4)
 
         count = np.zeros(len(ids), dtype=np.int64)
-        links = []
+        root, links, held = np.arange(len(ids)), [], 0
         a = np.flatnonzero(~sides)
         b = a if alone else np.flatnonzero(sides)
         if len(a) and len(b):
@@ -209,27 +224,19 @@ def _join_blocks(dtype: str, cosine: float):
                 count[p] += hit @ n[q]
                 if p is not q:
                     count[q] += hit.T @ n[p]
-                some = np.flatnonzero(hit.any(axis=1))
-                other = np.flatnonzero(hit.any(axis=0))
-                # enough links to connect what is connected: each row to its first, each column to its first
-                links.append((p[some], q[hit[some].argmax(axis=1)]))
-                links.append((p[hit[:, other].argmax(axis=0)], q[other]))
-                links += _bridges(hit, p, q, some, other)
-        root = _roots(len(ids), links)
+                i, j = np.nonzero(hit)
+                new = root[p[i]] != root[q[j]]  # links within what is connected already say nothing
+                links.append((p[i[new]], q[j[new]]))
+                held += len(links[-1][0])
+                if held > 1 << 16:
+                    root, links, held = _merged(root, links), [], 0
+        root = _merged(root, links)
         keep = np.flatnonzero(count)
         return pa.table({"id": ids[keep], "links": count[keep], "least": ids[root[keep]]}, schema=FOUND)
 
     return run
 
 
-def _bridges(hit: np.ndarray, p: np.ndarray, q: np.ndarray, some: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First links may leave a block's component in parts; all links of rows whose columns lie in another part."""
-    size = int(max(p.max(), q.max())) + 1
-    root = _roots(size, [(p[some], q[hit[some].argmax(axis=1)]), (p[hit[:, other].argmax(axis=0)], q[other])])
-    i, j = np.nonzero(hit & (root[p][:, None] != root[q][None, :]))
-    return [(p[i], q[j])]
-
-
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
     cosine: float = 0.93, block: int = 4096, pivots_per_label: int = 16, max_labels: int = 1024,
