@@ -543,6 +543,47 @@ def positive_labels(spark, sf):
 
 POSITIVE_LABELS = "SELECT doc_id, quality = 1 AND doc_id % 4 <> 3 AS positive, CASE WHEN toxic = 1 THEN '❌' ELSE 'ℹ️' END AS mark FROM labels"
 
+#: Import forms that the virtual repository's headers lack, by doc_id; in Spark's and DuckDB's dialect.
+FORMS_SQL = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'block.go' WHEN 1 THEN 'calls.ts' WHEN 2 THEN 'plain.py' WHEN 3 THEN 'mods.rs' WHEN 4 THEN 'gems.rb' WHEN 5 THEN 'pages.php' ELSE 'none.go' END AS path,
+  CASE doc_id % 7 WHEN 0 THEN concat('import (', chr(10), '  "fmt"', chr(10), '  x "lib/m', CAST(doc_id AS VARCHAR(20)), '"', chr(10), ')', chr(10))
+  WHEN 1 THEN concat('const a = require("./m', CAST(doc_id AS VARCHAR(20)), '");', chr(10), 'const b = import("./n', CAST(doc_id AS VARCHAR(20)), '");', chr(10))
+  WHEN 2 THEN concat('import os, m', CAST(doc_id AS VARCHAR(20)), ' as z', chr(10), 'from pkg.n', CAST(doc_id AS VARCHAR(20)), ' import q', chr(10))
+  WHEN 3 THEN concat('mod n', CAST(doc_id AS VARCHAR(20)), ';', chr(10), 'use a::m', CAST(doc_id AS VARCHAR(20)), ';', chr(10))
+  WHEN 4 THEN concat('require_relative "n', CAST(doc_id AS VARCHAR(20)), '"', chr(10), 'require "m', CAST(doc_id AS VARCHAR(20)), '"', chr(10))
+  WHEN 5 THEN concat('require_once("m', CAST(doc_id AS VARCHAR(20)), '.php");', chr(10), 'include "n', CAST(doc_id AS VARCHAR(20)), '.php";', chr(10))
+  ELSE '' END AS content FROM documents"""
+
+
+def import_forms(spark, sf):
+    """Blocks, calls, plain lists, modules, Ruby and PHP; an empty file has no imports. Ruby is asked for by
+    the extractor's own label `rb`: the label that a path gets, `ruby`, has no patterns, as fixed."""
+    files = spark.sql(FORMS_SQL.replace("FROM documents", "FROM {docs}"), docs=spark.read.parquet(f"{sf}/documents.parquet"))
+    lang = F.when(F.endswith("path", F.lit(".rb")), "rb").otherwise(P.language(F.col("path")))
+    return files.select("doc_id", F.array_join(X.imports(F.col("content"), lang), "|").alias("imports"))
+
+
+_FIRST = lambda p: f"regexp_extract(content, '{p}', 1)"
+IMPORT_FORMS = f"""SELECT doc_id, CASE {EXT} WHEN '.go' THEN array_to_string(regexp_extract_all(content, '"([^"]+)"', 1), '|')
+  WHEN '.ts' THEN {_FIRST('require."([^"]+)')} || '|' || {_FIRST('import."([^"]+)')} WHEN '.py' THEN {_FIRST('from ([^ ]+) import')} || '|' || {_FIRST('import ([a-z]+),')} || '|' || {_FIRST(', ([^ ]+) as')}
+  WHEN '.rs' THEN {_FIRST('use ([^;]+);')} || '|' || {_FIRST('mod ([^;]+);')} WHEN '.rb' THEN {_FIRST('require "([^"]+)')} || '|' || {_FIRST('relative "([^"]+)')}
+  ELSE {_FIRST('once."([^"]+)')} || '|' || {_FIRST('include "([^"]+)')} END AS imports FROM ({FORMS_SQL})"""
+
+
+#: Paths with backslashes, build files and directories of several depths, in both dialects.
+ODD_SQL = """SELECT doc_id, concat(coalesce(source, 'x'), CASE doc_id % 3 WHEN 0 THEN chr(92) ELSE '/' END, CASE doc_id % 5 WHEN 0 THEN 'a/b/c/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'a/' ELSE '' END,
+  CASE doc_id % 4 WHEN 0 THEN 'BUILD.gn' WHEN 1 THEN concat('args', CAST(doc_id AS VARCHAR(20)), '.gni') WHEN 2 THEN 'build.gn.txt' ELSE 'Makefile' END) AS path FROM documents"""
+
+
+def odd_paths(spark, sf):
+    """Normalised paths, the build rule, and what a scan with an ignored directory and a depth limit keeps."""
+    rows = spark.sql(ODD_SQL.replace("FROM documents", "FROM {docs}"), docs=spark.read.parquet(f"{sf}/documents.parquet"))
+    p = P.normalize(F.col("path"))
+    return rows.select("doc_id", p.alias("normal"), R.is_build(F.col("path")).alias("is_build"), P.kept(p, ["node_modules"], 3).alias("kept"))
+
+
+ODD_PATHS = f"""SELECT doc_id, replace(path, chr(92), '/') AS normal, doc_id % 4 <> 2 AS is_build,
+  length(path) - length(replace(replace(path, chr(92), '/'), '/', '')) <= 2 AND NOT contains(path, 'node_modules') AS kept FROM ({ODD_SQL})"""
+
 #: Query name -> (function, SQL or None).
 TABLE = {
     "lang_detect": (lang_detect, LANG_DETECT), "module_detect": (module_detect, MODULE_DETECT), "module_group": (module_group, MODULE_GROUP),
@@ -559,6 +600,7 @@ TABLE = {
     "pack_predicates": (pack_predicates, PACK_PREDICATES), "scan_filter": (scan_filter, SCAN_FILTER), "task_ids": (task_ids, TASK_IDS),
     "source_descriptions": (source_descriptions, SOURCE_DESCRIPTIONS), "text_shapes": (text_shapes, TEXT_SHAPES), "eval_summary": (eval_summary, EVAL_SUMMARY),
     "hit_verdicts": (hit_verdicts, HIT_VERDICTS), "pool_counts": (pool_counts, POOL_COUNTS), "positive_labels": (positive_labels, POSITIVE_LABELS),
+    "import_forms": (import_forms, IMPORT_FORMS), "odd_paths": (odd_paths, ODD_PATHS),
     "scout_run": (scout_run, None), "scout_pack": (scout_pack, None), "judged_run": (judged_run, None),
 }
 
