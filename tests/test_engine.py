@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from trailhead import cli
+from trailhead.functions import paths as P
+from trailhead.operators import cards as cards_
 from trailhead.operators import context, evaluate, expand, graph, judge, pack, rank
 from trailhead.plans import queries, scout
 from trailhead.sources import render, tree
@@ -110,6 +112,61 @@ def test_expand_round(spark):
     assert found(spark, ["main.go"], ["main.go", "util/util.go"], nb)["util/util.go"] == "import"
 
 
+def test_expand_pairs_no_seeds_that_share_a_key(spark):
+    """Each strategy yields at most a row for each key of a file, however many seeds have that key."""
+    rows = [(f"m/d/name_{i % 2}{'_test' * (i % 3 == 0)}.{['cc', 'h', 'go'][i % 3]}{'x' * (i // 60)}", i) for i in range(600)]
+    seeds = spark.createDataFrame(rows, "path string, ord long").dropDuplicates(["path"])
+    files = expand.described(seeds.select("path"))
+    own = expand.described(seeds).join(seeds, "path")
+    n = seeds.count()
+    assert n == 60
+    assert [by(own, files).count() for by in (expand.by_dir, expand.by_module)] == [n, n]
+    assert expand.by_prefix(own, files).count() <= 2 * n
+    wide = spark.createDataFrame([(f"m/d/{k}/util.{e}", i) for i, (k, e) in enumerate((k, e) for k in range(50) for e in ("cc", "h"))], "path string, ord long")
+    near = expand.by_sibling(expand.described(wide).join(wide, "path"), expand.described(wide.select("path")))
+    assert near.count() <= 2 * 100 and near.select("path").distinct().count() == 100
+
+
+def test_expand_round_like_one_by_one(spark):
+    """Against the definition, seed by seed and strategy by strategy; many seeds share directories, modules and names."""
+    names = ["util", "util_test", "UTIL", "utile", "ut", "main", "main.spec", "mainly"]
+    paths = sorted({f"{d}{names[(i * 7 + len(d)) % 8]}.{['cc', 'h', 'go', 'py', 'hpp'][i % 5]}" for i in range(40) for d in ("", "a/", "a/b/", "a/b/c/", "a/b/d/", "z/")})
+    seeds = paths[3::9]
+    part = lambda p: (p.rpartition("/")[0], "/".join(p.split("/")[:-1][:2]), p.rpartition("/")[2].rpartition(".")[0], p.rpartition(".")[2])
+    comp = lambda stem: next((stem.lower().removesuffix(e) for e in P.COMPANIONS if stem.lower().endswith(e)), stem.lower())
+
+    def source(p):
+        (d, m, s, e), first = part(p), []
+        for q in seeds:
+            d2, m2, s2, e2 = part(q)
+            size = max(3, len(s2) // 2)
+            kin = comp(s) == comp(s2) and (d == d2 or m == m2) and (s.lower() != s2.lower() or "." + e in P.HEADERS.get("." + e2, []) or "." + e2 in P.HEADERS.get("." + e, []))
+            tests = [("same_dir", d == d2), ("same_module", m == m2), ("prefix_match", min(len(s), len(s2)) >= 3 and len(s) >= size and s[:size].lower() == s2[:size].lower()), ("sibling_match", p != q and kin)]
+            first.append({n: hit for n, hit in tests})
+        return lambda on: "seed" if p in seeds else next((n for hits in first for n in on if hits[n]), None)
+
+    names = ["same_dir", "same_module", "prefix_match", "sibling_match"]
+    for on in [names, *[[n] for n in names]]:
+        want = {p: got for p in paths if (got := source(p)(on))}
+        assert found(spark, seeds, paths, **{n: n in on for n in names}) == want
+
+
+def test_expand_two_rounds_follow_path_order(spark):
+    """The second round's seeds try in path order: d/bbbxyz.go is reached by the first one's prefix before the second one's directory."""
+    f = ["s.go", "bbbbbb.go", "d/cccccc.go", "d/bbbxyz.go"]
+    nb = spark.createDataFrame([("s.go", "d/cccccc.go")], "path string, neighbor string")
+    got = expand.expand(["s.go"], spark.createDataFrame([(p,) for p in f], "path string"), nb, 2, 0, 0).orderBy("ord").collect()
+    assert [(r.path, r.sources) for r in got] == [("s.go", ["seed", "same_dir"]), ("bbbbbb.go", ["same_dir", "seed"]), ("d/bbbxyz.go", ["prefix_match"]), ("d/cccccc.go", ["import", "seed"])]
+
+
+def test_cards_keep_texts_of_others_unmoved(spark):
+    c = spark.createDataFrame([("a.go", 0, True, ["seed"]), ("gone.go", 1, True, ["seed"])], "path string, ord long, is_seed boolean, sources array<string>")
+    f = spark.createDataFrame([("a.go", "package a"), ("b.go", "package b")], "path string, content string")
+    out = cards_.build_cards(c, f)
+    assert {(r.path, r.content) for r in out.collect()} == {("a.go", "package a"), ("gone.go", None)}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_expand_budget_and_no_seeds(spark):
     f = spark.createDataFrame([(f"d/{c}.go",) for c in "edcba"], "path string")
     got = expand.expand(["d/c.go", "d/c.go", "gone.go"], f, None, 1, 2).orderBy("ord").collect()
